@@ -26,11 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-#: Entries kept in a worker of each memo; a full memo starts anew, so memory is bounded and results don't change.
-MEMO = 250_000
-
+from .common import Memo, small_batches
 
 @dataclass
 class Tables:
@@ -71,18 +67,6 @@ def build_tables(ranks: dict[bytes, int], pattern: str) -> Tables:
     return Tables(tokens, left, right, prefix, pattern)
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Encoder:
     def __init__(self, tables: Tables):
         self.t = tables
@@ -93,9 +77,9 @@ class Encoder:
             self.backwards.add_word(token[::-1].decode("latin-1"), i)
         self.backwards.make_automaton()
         self.find = regex.compile(tables.pattern).findall
-        self.border = _Memo(self._may_follow)
-        self.piece = _Memo(lambda text: ",".join(map(str, self.encode_piece(text.encode()))))
-        self.undo = _Memo(lambda text: b"".join(self.t.tokens[int(i)] for i in text.split(",")))
+        self.border = Memo(self._may_follow)
+        self.piece = Memo(lambda text: ",".join(map(str, self.encode_piece(text.encode()))))
+        self.undo = Memo(lambda text: b"".join(self.t.tokens[int(i)] for i in text.split(",")))
 
     def _may_follow(self, pair: tuple[int, int]) -> bool:
         """Undo the later of the two tokens' merges again and again: no earlier merge may cross the border."""
@@ -153,7 +137,8 @@ class Encoder:
         return b"".join(map(self.undo.__getitem__, pieces))
 
 
-_ENCODERS: dict[int, Encoder] = {}
+#: The last encoder of this worker process, by the vocabulary's digest.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
@@ -163,13 +148,15 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    tables = spark.sparkContext.broadcast(build_tables(read_ranks(path), pattern))
+    ranks = read_ranks(path)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    tables = spark.sparkContext.broadcast(build_tables(ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tables.id not in _ENCODERS:
+        if name not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[tables.id] = Encoder(tables.value)
-        encoder = _ENCODERS[tables.id]
+            _ENCODERS[name] = Encoder(tables.value)
+        encoder = _ENCODERS[name]
         for batch in batches:
             ids, counts, shas, undone = [], [], [], []
             for text in batch.column("text").to_pylist():

@@ -12,6 +12,24 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Entries of one memo in a worker; a full memo starts anew, so memory is bounded and results don't change.
+MEMO = 250_000
+
+
+class Memo(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
