@@ -8,18 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
+from .packing import pack_documents
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(*split_by_id(documents(spark, sf_dir))).drop("screened")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_and_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing,
+           "op10_byte_bpe": op10_byte_bpe}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
