@@ -9,6 +9,11 @@ from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
 from .packing import pack_documents
+from .substring_dedup import remove_repeated_windows
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(documents(spark, sf_dir)).drop("intervals")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing,
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_exact_dedup": op3_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing,
            "op10_byte_bpe": op10_byte_bpe}
 
 ORACLE_SQL = {
