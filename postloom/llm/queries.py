@@ -9,6 +9,7 @@ from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
 from .packing import pack_documents
+from .simhash import simhash_components
 from .substring_dedup import remove_repeated_windows
 
 
@@ -24,13 +25,19 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_and_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op3_exact_dedup": op3_exact_dedup, "op6_best_fit_packing": op6_best_fit_packing,
-           "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op3_exact_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op10_byte_bpe)
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
