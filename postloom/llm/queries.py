@@ -9,14 +9,21 @@ from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
 from .packing import pack_documents
+from .sharding import assign_shards, shard_names
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_windows
+from .toxicity import fit, score
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(documents(spark, sf_dir)).drop("intervals")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(*split_by_id(documents(spark, sf_dir))).drop("screened")
 
@@ -29,6 +36,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(documents(spark, sf_dir), "doc_id", shard_names(), fallback="text").select("doc_id", "slot", "shard")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_and_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
@@ -36,7 +47,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op3_exact_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op10_byte_bpe)
+    for f in (
+        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op9_sharding,
+        op10_byte_bpe,
+    )
 }
 
 ORACLE_SQL = {
