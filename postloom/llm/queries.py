@@ -9,6 +9,7 @@ from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
 from .packing import pack_documents
+from .quality import BOILERPLATE, clean_lines
 from .sharding import assign_shards, shard_names
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_windows
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(*split_by_id(documents(spark, sf_dir))).drop("screened")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(documents(spark, sf_dir)).drop("clean_text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,7 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op9_sharding,
+        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_simhash_near_dedup, op9_sharding,
         op10_byte_bpe,
     )
 }
@@ -62,4 +67,27 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
        CASE WHEN doc_id <= mid THEN 'snapshot' ELSE 'batch' END AS part
 FROM d JOIN g USING (t), m
 """,
+    "op4_quality_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE c > 1) GROUP BY 1),
+l AS (SELECT doc_id, x FROM d, unnest(string_split(t, chr(10))) AS u(x) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+m AS (SELECT doc_id, x, lower(x) AS low, length(x) AS chars,
+        greatest(1, len(list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda y: y <> ''))) AS n,
+        length(x) - length(regexp_replace(x, '[#*$%&|<>{}]', '', 'g')) AS symbols,
+        length(x) - length(regexp_replace(x, '!!', '', 'g')) AS shouts,
+        length(x) - length(regexp_replace(x, '[|>»›·•]', '', 'g')) AS bars FROM l),
+f AS (SELECT doc_id, x, NOT regexp_matches(low, '[.!?:;,…。！？"”»)]([\x20\x09-\x0D]|$)') OR symbols * 10 > chars OR shouts > n
+        OR (bars >= 3 AND n <= 5 * (bars + 1)) OR (n <= 30 AND (PHRASES)) AS bad FROM m),
+q AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines, count(*) FILTER (bad) AS n_bad_lines,
+        CAST(coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (bad), 0) AS BIGINT) AS bad_chars FROM f GROUP BY 1),
+b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(cov.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bad_lines, 0) AS n_bad_lines,
+        coalesce(bad_chars, 0) AS bad_chars FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN q USING (doc_id)),
+z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT *, NOT base_failed AND bad_chars <= 0.5 * word_chars AS kept FROM z
+""".replace("PHRASES", " OR ".join(f"contains(low, '{p}')" for p in BOILERPLATE)),
 }
