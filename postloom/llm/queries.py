@@ -9,6 +9,7 @@ from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
 from .packing import pack_documents
+from .pii import find_spans
 from .quality import BOILERPLATE, clean_lines
 from .sharding import assign_shards, shard_names
 from .simhash import simhash_components
@@ -41,6 +42,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(documents(spark, sf_dir)).drop("selected")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(documents(spark, sf_dir), "doc_id", shard_names(), fallback="text").select("doc_id", "slot", "shard")
 
@@ -53,8 +58,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_simhash_near_dedup, op9_sharding,
-        op10_byte_bpe,
+        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_simhash_near_dedup, op8_pii,
+        op9_sharding, op10_byte_bpe,
     )
 }
 
