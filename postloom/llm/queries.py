@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_and_decode
 from .common import documents
 from .exact_dedup import exact_dedup, split_by_id
+from .line_dedup import fuzzy_lines
 from .packing import pack_documents
 from .pii import find_spans
 from .quality import BOILERPLATE, clean_lines
@@ -34,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op6_best_fit_packing, op7_simhash_near_dedup, op8_pii,
+        op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op5_line_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op8_pii,
         op9_sharding, op10_byte_bpe,
     )
 }
