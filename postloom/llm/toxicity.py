@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, small_batches, text_or_empty
 
@@ -203,6 +204,14 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
                  pa.array(1 - p[:, 0]), pa.array(toxic), pa.array(~toxic)],
                 ["doc_id", "expected_severity", "grade", "p_toxic", "toxic", "kept"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-        run, f"doc_id {kind}, expected_severity double, grade int, p_toxic double, toxic boolean, kept boolean")
+    schema = T.StructType([docs.schema["doc_id"]])
+    for name, kind in (("expected_severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType()),
+                       ("toxic", T.BooleanType()), ("kept", T.BooleanType())):
+        schema.add(name, kind)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
+    """docs without the rows that score rejects; whole rows pass through the scoring map, so nothing is joined."""
+    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    return score(whole, model, threshold).where("kept").select("doc_id.*")
