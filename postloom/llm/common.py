@@ -12,21 +12,26 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Entries of one memo in a worker; a full memo starts anew, so memory is bounded and results don't change.
+#: Entries of one generation of a memo in a worker.
 MEMO = 250_000
 
 
 class Memo(dict):
-    """A dictionary that makes what it lacks."""
+    """A dictionary that makes what it lacks. A full one becomes the old generation, from which entries still in use
+    come back, so memory is bounded, frequent keys stay, and results don't depend on either."""
 
-    def __init__(self, make):
+    def __init__(self, make, limit: int = MEMO):
         super().__init__()
-        self.make = make
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 

@@ -40,25 +40,44 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _PARTS = re.compile(r"([^\W\d_]+)([.,!?:;%&$#*|]+)")
 
 
+#: Letters that the tokenizer's normaliser leaves as they are; a word of these is one input of its merges.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def byte_characters() -> str:
+    """The public byte-level alphabet: bytes that print stand for themselves, the others follow from U+0100 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in prints]
+    return "".join(chr(b) if b in prints else chr(256 + others.index(b)) for b in range(256))
+
+
 class WordEncoder:
     """Ids of a text by its words. The tokenizer never joins across white space, so each distinct word is encoded
-    once by the library and then taken from a bounded memo; texts with the library's own special tokens are
-    encoded whole."""
+    once by the library and then taken from a bounded memo. Words of plain letters go to the library's merges at
+    once, other words through its normaliser and splitter too; texts with its own special tokens are encoded whole."""
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Memo(self._word)
-        self.parts = Memo(self._library)
+        self.parts = Memo(self._part, 400_000)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = dict(enumerate(byte_characters()))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, text: str) -> bytes:
+        if not _PLAIN.fullmatch(text):
+            return self._library(text)
+        return np.array([x.id for x in self.merge(text.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+
     def _word(self, word: str) -> bytes:
         m = _PARTS.fullmatch(word)
         parts = m.groups() if m and m[1].lower().isalpha() else (word,)
         # lower case first where that is safe, so that fewer words are distinct
-        return b"".join(self.parts[x.lower() if x.isascii() else x] for x in parts)
+        return b"".join(self.parts[low if (low := x.lower()).isascii() or _PLAIN.fullmatch(low) and len(low) == len(x) else x]
+                        for x in parts)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -181,7 +200,8 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("inside", inside).join(base, ["length", "salt"]).withColumn(
         "rank", F.col("base") + F.col("inside") - 1)
-    return ranked.join(slots, ["length", "rank"]).drop("salt", "inside", "base", "rank")
+    # both sides grow with the documents: neither may be broadcast, whatever their estimates say
+    return ranked.join(slots.hint("merge"), ["length", "rank"]).drop("salt", "inside", "base", "rank")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
