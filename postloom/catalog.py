@@ -1,6 +1,5 @@
 """The engine's own query catalogue: name -> callable, and name -> DuckDB SQL."""
 
-from __future__ import annotations
+from postloom.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
