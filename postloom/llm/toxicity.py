@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Features are a text's distinct words (letters, lower case) and the words' beginnings of three to five letters, hashed
-to 32 bits. The model is P(grade <= k) = sigmoid(theta_k - w.x): all ordered thresholds share the weights w, so a
+to 31 bits. The model is P(grade <= k) = sigmoid(theta_k - w.x): all ordered thresholds share the weights w, so a
 text's expected severity is one number between 0 and the highest grade.
 
 Fitting takes a bounded sample, SAMPLE labelled rows a class chosen by the digest of their ids, and weighs the classes
@@ -39,7 +39,7 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def word_features(word: str) -> tuple[int, ...]:
-    return tuple(zlib.crc32(x.encode()) for x in (word, *(f"{word[:k]}*" for k in (3, 4, 5) if len(word) > k)))
+    return tuple(zlib.crc32(x.encode()) & 0x7FFFFFFF for x in (word, *(f"{word[:k]}*" for k in (3, 4, 5) if len(word) > k)))
 
 
 _FEATURES = Memo(word_features)
@@ -117,8 +117,8 @@ def likelihood_ratios(has: np.ndarray, has_toxic: np.ndarray, n: int, n_toxic: i
     return 2 * gain * np.sign(has_toxic / n_toxic - clean / n_clean)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list, dict[int, int]]:
-    """Rows (label, one array of features a word) of the sampled documents; how many documents have each label."""
+def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[pa.Table | None, dict[int, int]]:
+    """The sampled documents' label, features word after word and features a word; how many documents have each label."""
     small_batches(docs.sparkSession)
     each = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     shares = {r["label"]: r["count"] for r in each.groupBy("label").count().collect()}
@@ -127,42 +127,45 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list, dict[
         part = each.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         ids = part if ids is None else ids.union(part)
     if ids is None:
-        return [], shares
+        return None, shares
     # at most SAMPLE ids a class: the bound of this broadcast
     chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(set(_WORDS(x.lower()))) for x in batch.column("text").to_pylist()]
-            features = [[f for w in ws for f in (len(_FEATURES[w]), *_FEATURES[w])] for ws in words]
+            words = [[_FEATURES[w] for w in sorted(set(_WORDS(x.lower())))] for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(features, pa.list_(pa.int64()))],
-                ["doc_id", "label", "features"])
+                [batch.column("doc_id"), batch.column("label"),
+                 pa.array([[f for w in ws for f in w] for ws in words], pa.list_(pa.int32())),
+                 pa.array([[len(w) for w in ws] for ws in words], pa.list_(pa.int32()))],
+                ["doc_id", "label", "features", "sizes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(run, f"doc_id {kind}, label int, features array<bigint>")
-    return rows.orderBy("doc_id", "label").select("label", "features").collect(), shares
+    rows = chosen.select("doc_id", "label", "text").mapInArrow(
+        run, f"doc_id {kind}, label int, features array<int>, sizes array<int>")
+    return rows.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks(), shares
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and each list's length."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalModel:
     """Fit on documents that labels (doc_id, label) covers; labels above 1 are taken as grades as they are."""
-    rows, shares = _sample(docs, labels, label)
-    y = np.array([r["label"] for r in rows], np.int64)
-    if not len(y) or not (y > 0).any() or not (y == 0).any():
+    table, shares = _sample(docs, labels, label)
+    y = labelled = np.array(table["label"] if table else [], np.int64)
+    if not (y > 0).any() or not (y == 0).any():
         return OrdinalModel()
-    owner, feature, word, start = [], [], [], 0
-    for i, r in enumerate(rows):
-        flat, at = r["features"], 0
-        while at < len(flat):
-            size = flat[at]
-            feature += flat[at + 1 : at + 1 + size]
-            owner += [i] * size
-            word += [start] * size
-            at, start = at + 1 + size, start + 1
-    owner, feature, word = np.array(owner), np.array(feature), np.array(word)
-    rows_of = np.unique(np.stack([owner, feature]), axis=1)
-    names, back, has = np.unique(rows_of[1], return_inverse=True, return_counts=True)
-    has_toxic = np.bincount(back, weights=y[rows_of[0]] > 0, minlength=len(names))
+    feature, _ = _flat(table["features"])
+    size, words = _flat(table["sizes"])
+    word = np.repeat(np.arange(len(size)), size)
+    owner = np.repeat(np.arange(len(y)), words)[word]
+    names, back = np.unique(np.unique(owner * (1 << 31) + feature) % (1 << 31), return_inverse=True)
+    rows_of = np.unique(owner * (1 << 31) + feature) >> 31  # row of each distinct (row, feature), in the order of back
+    has = np.bincount(back, minlength=len(names))
+    has_toxic = np.bincount(back, weights=y[rows_of] > 0, minlength=len(names))
     ratio = likelihood_ratios(has, has_toxic, len(y), int((y > 0).sum()))
     ratio[has < LEAST_ROWS] = 0
     chosen = np.flatnonzero(np.abs(ratio) >= LEAST_RATIO)
@@ -170,14 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalMode
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     held = place[back] >= 0
-    row, col = rows_of[0][held], place[back][held]
+    row, col = rows_of[held], place[back][held]
     if set(shares) <= {0, 1}:
         toxic_names = names[chosen[ratio[chosen] > 0]]
-        words_of = np.unique(np.stack([owner, word])[:, np.isin(feature, toxic_names)], axis=1)
-        y = np.where(y > 0, 1 + (np.bincount(words_of[0], minlength=len(y)) >= GRADE_TWO), 0)
+        hits = np.unique(word[np.isin(feature, toxic_names)])
+        hits = np.bincount(np.repeat(np.arange(len(y)), words)[hits], minlength=len(y))
+        y = np.where(y > 0, 1 + (hits >= GRADE_TWO), 0)
     grades = sorted(set(y.tolist()))
     y = np.searchsorted(grades, y)
-    labelled = np.array([r["label"] for r in rows])
     weight = np.array([shares[k] / max(1, (labelled == k).sum()) for k in labelled])
     w, thresholds = fit_ordinal(row, col, len(chosen), y, weight, len(grades))
     return OrdinalModel({int(f): float(v) for f, v in zip(names[chosen], w, strict=True)}, thresholds)
