@@ -1,5 +1,6 @@
 """The engine's own query catalogue: name -> callable, and name -> DuckDB SQL."""
 
+from postloom.plans import queries_posts  # noqa: F401  registers its queries
 from postloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -38,7 +38,7 @@ def ordered_action_counts(text: Column, buttons: Column) -> Column:
     """array of like, comment and share counts of an action bar: three bare numbers, or two and no shares."""
     numbers = F.regexp_extract_all(text, F.lit(r"([0-9][0-9,]*(?:\.[0-9]+)?\s*[KkMmBb万亿億]?)"), 1)
     ok = (buttons == 3) & (F.length(text) <= 40) & ~text.rlike(r"(?i)(like|reaction|comment|share)")
-    parsed = F.transform(numbers, parse_metric_count)
+    parsed = F.transform(numbers, lambda n: parse_metric_count(n))
     none = F.lit(None).cast("bigint")
     return F.when(ok & (F.size(numbers) == 3), parsed).when(ok & (F.size(numbers) == 2), F.concat(parsed, F.array(none)))
 

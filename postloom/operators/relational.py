@@ -167,4 +167,4 @@ def post_keywords(posts: DataFrame, keywords: DataFrame, existing: DataFrame | N
 
 def keywords_in_order(words: Column) -> Column:
     """Stripped, blank ones dropped, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(words, F.trim), lambda k: k != ""))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.trim(w)), lambda k: k != ""))
