@@ -48,8 +48,10 @@ def preserve_lines(c: Column) -> Column:
 
 def valid_author_name(name: Column) -> Column:
     """Whether a text can be an author's name rather than a label, counter, time or metric; null counts as no."""
-    n = collapse(name)
-    low = F.lower(n)
+    return let(collapse(name), lambda n: ~_wrong_name(n, F.lower(n)))
+
+
+def _wrong_name(n: Column, low: Column) -> Column:
     wrong = (
         (n == "") | low.isin(*UI_NAMES) | n.startswith("#") | n.rlike(r"^\+\p{Nd}+$")
         | n.rlike(rf"(?i)^\p{{Nd}}+\s*({NAME_TIME_UNITS})$")
@@ -57,7 +59,7 @@ def valid_author_name(name: Column) -> Column:
         | n.rlike(rf"(?i)^({MONTHS})(?![\p{{L}}\p{{N}}_]).*")
         | ~n.rlike(r"[\p{L}\p{N}_]")
     )
-    return F.coalesce(~wrong, F.lit(False))
+    return F.coalesce(wrong, F.lit(True))
 
 
 def normalize_match_text(c: Column) -> Column:

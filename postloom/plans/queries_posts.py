@@ -77,9 +77,12 @@ def validate_internal(spark, d):
 SELECT platform, author_key, count(*) AS posts, arg_max(coalesce(author_name, ''), pos) AS last_name FROM y WHERE author_key IS NOT NULL GROUP BY 1, 2""")
 def upsert_authors(spark, d):
     r = raw_posts(spark, d)
-    a = r.select("platform", "pos", nz.normalize_author(F.col("platform"), F.col("author"), F.col("source")).alias("a"))
-    a = a.select("platform", "pos", "a", nz.author_key(F.col("a")).alias("author_key")).where("author_key is not null")
-    return a.groupBy("platform", "author_key").agg(F.count("*").alias("posts"), F.max_by(F.coalesce("a.name", F.lit("")), "pos").alias("last_name"))
+    normal = nz.normalize_author(F.col("platform"), F.col("author"), F.col("source"))
+    keyed = txt.let(normal, lambda a: F.struct(nz.author_key(a).alias("author_key"), F.coalesce(a["name"], F.lit("")).alias("name")))
+    a = r.select("platform", "pos", keyed.alias("a")).select("platform", "pos", "a.*")
+    # grouping first keeps the filter from computing the key a second time
+    groups = a.groupBy("platform", "author_key").agg(F.count("*").alias("posts"), F.max_by("name", "pos").alias("last_name"))
+    return groups.where("author_key is not null")
 
 
 @query("SELECT pos, CASE WHEN platform IS NULL THEN 'A normalized post requires platform ''x'' or ''facebook''.' WHEN pos % 10 = 0 THEN 'A normalized post requires post_id.' END AS reject_reason FROM c")
