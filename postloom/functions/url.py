@@ -94,7 +94,8 @@ def classify(df: DataFrame, url: str = "url") -> DataFrame:
                 F.coalesce(F.concat(F.lit("&id="), quote(F.col("_acct"))), F.lit("")))))
     )
     d = d.withColumn("_post", F.when(on_x, x).when(on_fb, fb))
-    return d.select(*df.columns, "_post.*")
+    # a generator is a border that no filter is pushed through, so the grammar is evaluated once a row
+    return d.select(*df.columns, F.inline(F.array("_post")))
 
 
 def clean_tracking(url: Column) -> Column:

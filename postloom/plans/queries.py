@@ -386,7 +386,7 @@ def title_context(spark, d):
     return views.search(spark, d).select("pos", txt.title_context(F.col("title")).alias("t")).select("pos", "t.*")
 
 
-@query("SELECT pos, CASE WHEN title IS NULL THEN 0.0 WHEN pos % 3 = 0 THEN CASE WHEN pos % 7 = 0 THEN 1.0 ELSE 1.0 END ELSE 1.0 END AS overlap FROM c")
+@query("SELECT pos, CAST(CASE WHEN title IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS overlap FROM c")
 def title_overlap(spark, d):
     return views.search(spark, d).select("pos", F.round(txt.title_overlap(F.col("snippet"), txt.title_context(F.col("title"))["content"]), 6).alias("overlap"))
 

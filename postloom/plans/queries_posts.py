@@ -79,8 +79,7 @@ def upsert_authors(spark, d):
     r = raw_posts(spark, d)
     normal = nz.normalize_author(F.col("platform"), F.col("author"), F.col("source"))
     keyed = txt.let(normal, lambda a: F.struct(nz.author_key(a).alias("author_key"), F.coalesce(a["name"], F.lit("")).alias("name")))
-    a = r.select("platform", "pos", keyed.alias("a")).select("platform", "pos", "a.*")
-    # grouping first keeps the filter from computing the key a second time
+    a = r.select("platform", "pos", F.inline(F.array(keyed)))  # a generator: the key is computed once a row
     groups = a.groupBy("platform", "author_key").agg(F.count("*").alias("posts"), F.max_by("name", "pos").alias("last_name"))
     return groups.where("author_key is not null")
 
