@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import Memo, small_batches, text_or_empty
 
-SAMPLE = 2500  # labelled rows a class: the bound of the fit
+SAMPLE = 1500  # labelled rows a class: the bound of the fit
 FEATURES = 3000
 GRADE_TWO = 3
 LEAST_ROWS = 4  # labelled rows that must have a feature
@@ -162,8 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalMode
     size, words = _flat(table["sizes"])
     word = np.repeat(np.arange(len(size)), size)
     owner = np.repeat(np.arange(len(y)), words)[word]
-    names, back = np.unique(np.unique(owner * (1 << 31) + feature) % (1 << 31), return_inverse=True)
-    rows_of = np.unique(owner * (1 << 31) + feature) >> 31  # row of each distinct (row, feature), in the order of back
+    pairs = np.unique(owner * (1 << 31) + feature)  # distinct (row, feature)
+    rows_of = pairs >> 31
+    names, back = np.unique(pairs & (1 << 31) - 1, return_inverse=True)
+    del pairs, owner
     has = np.bincount(back, minlength=len(names))
     has_toxic = np.bincount(back, weights=y[rows_of] > 0, minlength=len(names))
     ratio = likelihood_ratios(has, has_toxic, len(y), int((y > 0).sum()))
