@@ -59,8 +59,8 @@ class WordEncoder:
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = Memo(self._word)
-        self.parts = Memo(self._part, 400_000)
+        self.words = Memo(self._word, 300_000)
+        self.parts = Memo(self._part, 900_000)
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = dict(enumerate(byte_characters()))
 
@@ -185,7 +185,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         for i in range(0, -(-slots // each), step // each)
     ]
     schema = "length long, rank0 long, slots long, each long, bin long, at long"
-    slots = spark.createDataFrame(parts, schema).repartition(max(1, min(1000, len(parts) // 4)))
+    slots = spark.createDataFrame(parts, schema).repartition(max(1, min(1000, len(parts) // 20)))
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("i")).select(
         "length", (F.col("rank0") + F.col("i")).alias("rank"),
         (F.col("bin") + F.floor(F.col("i") / F.col("each"))).cast("long").alias("sequence_id"),
