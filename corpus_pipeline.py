@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import exact_dedup as exact
-from postloom.llm import pii, simhash, toxicity
+from postloom.llm import pii, toxicity
+from postloom.llm.near_copies import near_copies
 from postloom.llm.packing import pack_documents
 
 
@@ -33,10 +34,10 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the least doc_id stays."""
-    first = simhash.simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    """Of each component of documents at Jaccard 0.8 or more over five-word shingles the one with the least doc_id stays."""
+    first = near_copies(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("sha").alias("kept_sha"))
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("kept_sha")), "left_semi")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
