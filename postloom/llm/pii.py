@@ -6,9 +6,10 @@ Each candidate has small whole-number features of its format and of the 24 chara
 them; a threshold for each kind, calibrated to PRECISION on all candidates with a weak label, selects redactions.
 Base spans that pass their check always stay.
 
-Fitting reads every candidate: they are counted by feature pattern in Spark, and the patterns, FIT_PATTERNS of them at
-most, the most frequent first, go to the driver, where small trees are grown in plain Python. The model comes back as
-nested CASE expressions. Candidates are found in one pass over whole texts and kept, without texts, in the checkpoint
+Fitting reads every candidate: they are counted by feature pattern in Spark, and at most FIT_PATTERNS patterns of each
+kind (but e-mails, whose label is constant) go to the driver, where small trees are grown in plain Python: the most
+frequent half, and of the others a sample by hash, weighted for those left out. The model comes back as nested CASE
+expressions, which score every labelled candidate; thresholds come from these scores, counted in Spark. Candidates are found in one pass over whole texts and kept, without texts, in the checkpoint
 folder. Texts are never shuffled; a row's work depends on that row alone, so hot groups don't matter.
 
 A match's place is the sum of what split() and regexp_extract_all() return before it. The patterns are the fixed ones
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, let, text_or_empty
@@ -45,7 +46,7 @@ KINDS = tuple(GENERATORS)
 GOOD_CONTEXT = r"tel|phone|call|fax|mobil|mail|contact|card|visa|account|iban|konto|host|server|addr|token|key|secret|passw|ssn|login|user"
 BAD_CONTEXT = r"version|isbn|issn|order|article|section|chapter|doi|page|figure|total|price|http"
 FEATURES = ("kind", "digits", "letters", "marks", "luhn", "octets", "good", "bad", "follows")
-FIT_PATTERNS = 5000  # bound of what the fit gathers
+FIT_PATTERNS = 5000  # bound of what the fit gathers of each kind
 ROUNDS = 20
 PRECISION = 0.95
 _SPAN = "array<struct<start:bigint,end:bigint,span:string>>"
@@ -170,25 +171,43 @@ def _tree_column(tree, c: Column) -> Column:
     return F.when(c[FEATURES[f]] <= cut, _tree_column(low, c)).otherwise(_tree_column(high, c))
 
 
+def _total(trees: list[tuple], c: Column) -> Column:
+    total = F.lit(0.0)
+    for t in trees:
+        total = total + _tree_column(t, c)
+    return total
+
+
+def _fit_rows(patterns: DataFrame) -> list[tuple[tuple[int, ...], float, float]]:
+    """(features, positives, count) of at most FIT_PATTERNS patterns of each kind."""
+    half = FIT_PATTERNS // 2
+    ranked = patterns.where(F.col("kind") != KINDS.index("email")).withColumn(
+        "top", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), *FEATURES)) <= half)
+    own = Window.partitionBy("kind", "top")
+    some = ranked.withColumn("place", F.row_number().over(own.orderBy(F.xxhash64(*FEATURES), *FEATURES))).withColumn(
+        "weight", F.count("*").over(own) / F.least(F.count("*").over(own), F.lit(half))).where(F.col("place") <= half)
+    return [(tuple(r[f] for f in FEATURES), r.weight * r.good_n, r.weight * r.n) for r in some.orderBy(*FEATURES).collect()]
+
+
+def thresholds(patterns: DataFrame, trees: list[tuple]) -> list[float | None]:
+    """By kind the least score at which those at or above it have PRECISION, over all patterns with their counts."""
+    scored = patterns.select("kind", _total(trees, F.struct(*FEATURES)).alias("score"), "good_n", "n")
+    counts = scored.groupBy("kind", "score").agg(F.sum("good_n").alias("good_n"), F.sum("n").alias("n"))
+    above = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.select("kind", "score", F.sum("good_n").over(above).alias("right"), F.sum("n").over(above).alias("total"))
+    least = {r.kind: r.cut for r in sums.where(F.col("right") >= PRECISION * F.col("total")).groupBy("kind").agg(F.min("score").alias("cut")).collect()}
+    return [least.get(kind) for kind in range(len(KINDS))]
+
+
 def fit(found: DataFrame) -> tuple[list[tuple], list[float | None]]:
     """Trees, and by kind the least score to redact at (None: none reaches PRECISION)."""
     each = found.select(F.explode("found").alias("c")).where("c.label is not null").select("c.*")
-    patterns = each.groupBy(*FEATURES).agg(F.sum("label").alias("good_n"), F.count("*").alias("n"))
-    top = patterns.orderBy(F.desc("n"), *FEATURES).limit(FIT_PATTERNS).collect()
-    rows = [(tuple(r[f] for f in FEATURES), float(r["good_n"]), float(r["n"])) for r in top]
+    patterns = checkpoint(each.groupBy(*FEATURES).agg(F.sum("label").alias("good_n"), F.count("*").alias("n")))
+    rows = _fit_rows(patterns)
     if not rows:
         return [], [None] * len(KINDS)
     trees = grow_trees(rows)
-    least: list[float | None] = []
-    for kind in range(len(KINDS)):
-        own = sorted(((sum(tree_value(t, x) for t in trees), pos, n) for x, pos, n in rows if x[0] == kind), reverse=True)
-        cut, right, total = None, 0.0, 0.0
-        for i, (s, pos, n) in enumerate(own):
-            right, total = right + pos, total + n
-            if right >= PRECISION * total and (i + 1 == len(own) or own[i + 1][0] < s):
-                cut = s
-        least.append(cut)
-    return trees, least
+    return trees, thresholds(patterns, trees)
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -206,9 +225,7 @@ def _found_and_model(docs: DataFrame):
 
 def select_spans(found: DataFrame, trees: list[tuple], least: list[float | None]) -> DataFrame:
     def chosen(c: Column) -> Column:
-        total = F.lit(0.0)
-        for t in trees:
-            total = total + _tree_column(t, c)
+        total = _total(trees, c)
         cut = F.lit(None).cast("double")
         for kind, value in enumerate(least):
             if value is not None:
