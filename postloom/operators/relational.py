@@ -6,10 +6,16 @@ the whole input go through with_global_rank, which ranks within ordered blocks a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 64  # ordered blocks of a global rank, besides the shuffle partitions
+#: Rows that one task ranks, about, and the most blocks that a rank is dealt into.
+ROWS_A_BLOCK = 200_000
+MOST_BLOCKS = 4096
+#: Keys looked at for each block, to place the bounds.
+KEYS_A_BLOCK = 16
 
 
 def dedupe_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -19,17 +25,57 @@ def dedupe_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(first.alias("_first")).select(*keys, "_first._row.*").select(*df.columns)
 
 
-def with_global_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+def _block(df: DataFrame, order: list[str], rows: int) -> Column:
+    """The number of a row's block: blocks are ascending ranges of order with about `rows` rows each.
+
+    Bounds are sampled once and become literals, so every use of the column, and every retried task, deals rows alike;
+    the sample decides how even blocks are, never where a rank comes out. Equal keys share a block.
+    """
+    n = df.count()
+    blocks = min(MOST_BLOCKS, n // rows + 1)
+    if blocks == 1:
+        return F.lit(0)
+    share = min(1.0, KEYS_A_BLOCK * blocks / n)
+    keys = df.select(*order).where(F.rand(1) < share).orderBy(*order).collect()  # 65,536 or so at most
+    bounds = [keys[len(keys) * k // blocks] for k in range(1, blocks)] if keys else []
+    kinds = dict(df.dtypes)
+    literal = lambda r: F.struct(*(F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, r, strict=True)))
+    key = F.struct(*order)
+    # plain sums of comparisons in two levels, so that a row meets about two square roots of all bounds
+    below = lambda xs: reduce(Column.__add__, (F.coalesce((x < key).cast("int"), F.lit(0)) for x in xs))
+    step = max(1, round(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not parts:
+        return F.lit(0)
+    part = below([literal(p[-1]) for p in parts])
+    own = F.get(F.array(*(F.array(*map(literal, p)) for p in parts)), part)
+    return part * step + below([F.get(own, j) for j in range(step)])
+
+
+def with_global_rank(df: DataFrame, order: list[str], name: str = "rank", rows: int = ROWS_A_BLOCK) -> DataFrame:
     """Adds the 1-based position in order over all rows: range blocks are ranked each, then shifted by what is before."""
-    parts = df.repartitionByRange(BLOCKS, *order).withColumn("_block", F.spark_partition_id())
+    parts = df.withColumn("_block", _block(df, order, rows))
     inside = parts.withColumn(name, F.row_number().over(Window.partitionBy("_block").orderBy(*order)))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = parts.groupBy("_block").agg(F.count("*").alias("n")).select("_block", before.alias("_base"))  # BLOCKS rows at most
+    base = parts.groupBy("_block").agg(F.count("*").alias("n")).select("_block", before.alias("_base"))  # MOST_BLOCKS rows at most
     return inside.join(F.broadcast(base), "_block").withColumn(name, F.col(name) + F.col("_base")).drop("_block", "_base")
 
 
-def rank_per_key(df: DataFrame, keys: list[str], order: str, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+def rank_per_key(df: DataFrame, keys: list[str], order: str, name: str = "rank", rows: int = ROWS_A_BLOCK) -> DataFrame:
+    """Adds the 1-based position in order within each key. Blocks are ranges of (keys, order), so a key with most rows is
+    ranked in many tasks; of each block only its first and its last key can reach over its ends, hence at most two rows
+    a block are broadcast."""
+    parts = df.withColumn("_block", _block(df, [*keys, order], rows))
+    inside = parts.withColumn(name, F.row_number().over(Window.partitionBy("_block", *keys).orderBy(order)))
+    own = parts.groupBy(*keys, "_block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    before = F.sum("n").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    base = own.withColumns({"_base": before, "_first": F.min("_block").over(w)}).where("_block > _first")
+    same = [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    base = base.select(*keys, "_block", "_base")
+    out = inside.alias("i").join(F.broadcast(base.alias("b")), [F.col("i._block") == F.col("b._block"), *same], "left")
+    return out.select(*(F.col(f"i.{c}") for c in df.columns if c != name),
+                      (F.col(f"i.{name}") + F.coalesce("b._base", F.lit(0))).alias(name))
 
 
 def page_of_rank(rank: Column, size: int = 10) -> Column:

@@ -99,3 +99,18 @@ def test_order_does_not_matter(spark, parts):
     assert first == {f"k{i}": i for i in range(5)}
     assert sorted((r.pos, r["rank"]) for r in relational.with_global_rank(df, ["pos"]).collect()) == [(i, i + 1) for i in range(100)]
     assert sorted(r.pos for r in relational.running_limit(df, "key", ["pos"], 21).collect()) == sorted([*range(0, 100, 5), 1])
+
+
+def test_ranks_over_many_blocks(spark, tmp_path):
+    """Ranks are counted after a write, with carried columns, over blocks far smaller than the input and a hot key."""
+    df = spark.range(20_000).select(
+        F.xxhash64("id").alias("pos"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("word"), "id")
+    relational.with_global_rank(df, ["word", "pos"], rows=300).write.parquet(f"{tmp_path}/all")
+    relational.rank_per_key(df, ["word"], "pos", rows=300).write.parquet(f"{tmp_path}/each")
+    rows = sorted((r.word, r.pos, r.id) for r in df.collect())
+    assert sorted((r["rank"], r.id) for r in spark.read.parquet(f"{tmp_path}/all").collect()) == [(k, r[2]) for k, r in enumerate(rows, 1)]
+    seen, want = {}, []
+    for word, _, i in rows:
+        seen[word] = seen.get(word, 0) + 1
+        want.append((i, seen[word]))
+    assert sorted((r.id, r["rank"]) for r in spark.read.parquet(f"{tmp_path}/each").collect()) == sorted(want)
