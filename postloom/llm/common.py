@@ -13,19 +13,23 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Entries of one generation of a memo in a worker.
+#: Entries of one generation of a memo in a worker, and the length of a key that is still kept.
 MEMO = 250_000
+MEMO_KEY = 64
 
 
 class Memo(dict):
     """A dictionary that makes what it lacks. A full one becomes the old generation, from which entries still in use
-    come back, so memory is bounded, frequent keys stay, and results don't depend on either."""
+    come back, and keys of more than MEMO_KEY characters are made anew each time; so memory is bounded, frequent keys stay,
+    and results don't depend on either."""
 
     def __init__(self, make, limit: int = MEMO):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > MEMO_KEY:
+            return self.make(key)
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

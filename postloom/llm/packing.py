@@ -32,11 +32,14 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that one task ranks, about.
 RANKED = 200_000
+#: Slots of one part of the plan, about.
+PART = 50_000
 
 #: Other characters that the tokenizer may take for white space: such texts are cut by ASCII white space only.
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: A word of letters with closing marks, whose two parts the tokenizer always encodes apart.
+#: Marks that may close a word; the tokenizer always encodes letters and the marks after them apart.
+_MARKS = ".,!?:;%&$#*|"
 _PARTS = re.compile(r"([^\W\d_]+)([.,!?:;%&$#*|]+)")
 
 
@@ -60,24 +63,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Memo(self._word, 300_000)
-        self.parts = Memo(self._part, 900_000)
+        self.parts = Memo(self._part, 300_000)
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = dict(enumerate(byte_characters()))
+        self.codes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, text: str) -> bytes:
+        """Ids of lower-case ASCII letters, which stand for themselves in the byte-level alphabet."""
+        codes = self.codes
+        return b"".join([codes[x.id] for x in self.merge(text)])
+
     def _part(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return self._letters(text)
         if not _PLAIN.fullmatch(text):
             return self._library(text)
-        return np.array([x.id for x in self.merge(text.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+        codes = self.codes
+        return b"".join([codes[x.id] for x in self.merge(text.encode().decode("latin-1").translate(self.alphabet))])
 
     def _word(self, word: str) -> bytes:
+        low = word.lower()
+        if "<" in low and any(x in low for x in self.special):
+            return self._library(word)  # in other letter case it isn't special to the library
+        # lower case first where that is safe, so that fewer words are distinct
+        if low.isascii():
+            if low.isalpha():
+                return self.parts[low]
+            letters = low.rstrip(_MARKS)
+            if letters.isalpha():
+                return self.parts[letters] + self.parts[low[len(letters) :]]
+            return self.parts[low]
         m = _PARTS.fullmatch(word)
         parts = m.groups() if m and m[1].lower().isalpha() else (word,)
-        # lower case first where that is safe, so that fewer words are distinct
-        return b"".join(self.parts[low if (low := x.lower()).isascii() or _PLAIN.fullmatch(low) and len(low) == len(x) else x]
-                        for x in parts)
+        return b"".join([self.parts[low if (low := x.lower()).isascii() or _PLAIN.fullmatch(low) and len(low) == len(x) else x]
+                         for x in parts])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -177,15 +199,15 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     plan = plan_best_fit(histogram, capacity)
-    # long runs of slots are dealt out in parts of whole bins, so that no task has to expand a large one
-    parts = [
-        (length, rank + i * each, min(step, slots - i * each), each, first + i, offset)
-        for length, rank, slots, each, first, offset in plan
-        for step in (max(1, 50_000 // each) * each,)
-        for i in range(0, -(-slots // each), step // each)
-    ]
-    schema = "length long, rank0 long, slots long, each long, bin long, at long"
-    slots = spark.createDataFrame(parts, schema).repartition(max(1, min(1000, len(parts) // 20)))
+    # long runs of slots are dealt out in parts of whole bins, on the executors, so that no task has to expand a large one
+    rows = spark.createDataFrame(plan, "length long, rank0 long, slots long, each long, bin long, at long")
+    step = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(PART) / F.col("each"))) * F.col("each")
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("step"))))
+    slots = rows.withColumn("step", step).withColumn("part", number).select(
+        "length", (F.col("rank0") + F.col("part") * F.col("step")).alias("rank0"),
+        F.least("step", F.col("slots") - F.col("part") * F.col("step")).alias("slots"), "each",
+        (F.col("bin") + F.floor(F.col("part") * F.col("step") / F.col("each"))).cast("long").alias("bin"), "at")
+    slots = slots.repartition(max(1, min(50_000, (len(plan) + sum(histogram.values()) // PART) // 20)))
     slots = slots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("i")).select(
         "length", (F.col("rank0") + F.col("i")).alias("rank"),
         (F.col("bin") + F.floor(F.col("i") / F.col("each"))).cast("long").alias("sequence_id"),
