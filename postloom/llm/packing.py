@@ -19,9 +19,11 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,9 +37,6 @@ RANKED = 200_000
 #: Slots of one part of the plan, about.
 PART = 50_000
 
-#: Other characters that the tokenizer may take for white space: such texts are cut by ASCII white space only.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Marks that may close a word; the tokenizer always encodes letters and the marks after them apart.
 _MARKS = ".,!?:;%&$#*|"
 _PARTS = re.compile(r"([^\W\d_]+)([.,!?:;%&$#*|]+)")
@@ -56,7 +55,7 @@ def byte_characters() -> str:
 
 class WordEncoder:
     """Ids of a text by its words. The tokenizer never joins across white space, so each distinct word is encoded
-    once by the library and then taken from a bounded memo. Words of plain letters go to the library's merges at
+    once by the library and then taken from a bounded memo. Only ASCII white space cuts words here. Words of plain letters go to the library's merges at
     once, other words through its normaliser and splitter too; texts with its own special tokens are encoded whole."""
 
     def __init__(self, model: str):
@@ -101,12 +100,22 @@ class WordEncoder:
         return b"".join([self.parts[low if (low := x.lower()).isascii() or _PLAIN.fullmatch(low) and len(low) == len(x) else x]
                          for x in parts])
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. Each distinct word of the array is looked up once."""
+        whole = reduce(pc.or_, (pc.match_substring(texts, x) for x in self.special), pa.repeat(False, len(texts)))
+        lists = pc.ascii_split_whitespace(pc.if_else(whole, "", texts))
+        words = lists.flatten().dictionary_encode()
+        of_word = pa.array([self.words[x] for x in words.dictionary.to_numpy(zero_copy_only=False).tolist()], pa.large_binary())
+        ids = of_word.take(words.indices)
+        _, starts, data = ids.buffers()
+        starts = np.frombuffer(starts, "<i8")[ids.offset :] if len(ids) else np.zeros(1, np.int64)
+        ends = starts[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        data = memoryview(data or b"")
+        return [self._library(texts[i].as_py()) if whole[i].as_py() else bytes(data[a:b])
+                for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(x in text for x in self.special):
-            return self._library(text)
-        words = _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, words))
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 #: The last encoder of this worker process, by the model's digest.
@@ -130,8 +139,8 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         encoder = _ENCODERS[name]
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = memoryview(encoder.encode(text) + end)
+            for row, ids in enumerate(encoder.encode_all(batch.column("text"))):
+                ids = memoryview(ids + end)
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append(row)
