@@ -76,6 +76,28 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Rows of a key from which it counts as frequent: at least so many, and such a part of all rows.
+FREQUENT = 1000
+FREQUENT_PARTS = 50_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with table, one row a key that holds in `count` how many of rows have it.
+
+    Keys of many rows, at most FREQUENT_PARTS of them since their rows add up to all rows at most, are broadcast, so
+    their rows stay where they are; only the others are shuffled. No task then reads more than its share of a hot key.
+    """
+    table = stored(table)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(FREQUENT, -(-total // FREQUENT_PARTS))
+    often = table.where(F.col(count) >= least)
+    if often.isEmpty():
+        return rows.join(table, key)
+    known = often.select(F.col(key).alias("_often"))
+    rest = rows.join(F.broadcast(known), F.col(key) == F.col("_often"), "left_anti")
+    return rows.join(F.broadcast(often), key).unionByName(rest.join(table.where(F.col(count) < least), key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) of any orderable type -> (node, root), root the least node that can be reached.
 
