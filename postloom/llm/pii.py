@@ -267,12 +267,11 @@ def redact(docs: DataFrame) -> DataFrame:
     Spans are found again beside the texts, so texts are not shuffled; the model is fitted on all of docs first.
     """
     _, trees, least = _found_and_model(docs)
-    columns = [c for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*columns).alias("doc_id"), "text")
     # find spans in the row that holds the text: candidates() and select_spans() only need one column to pass by
-    found = candidates(whole.select(F.struct("doc_id", "text").alias("doc_id"), "text"))
-    out = select_spans(found, trees, least).select("doc_id.doc_id.*", F.col("doc_id.text").alias("text"), "selected")
-    out = out.withColumn("text", redacted(F.col("text"), F.col("selected"))).drop("selected")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    found = candidates(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
+    name = max(docs.columns, key=len) + "_"  # a name that docs lacks
+    row = F.col(name)
+    text = redacted(row["text"], F.col(f"{name}_"))
+    of = {"text": text, "n_chars": F.length(text)}
+    return select_spans(found, trees, least).select(F.col("doc_id").alias(name), F.col("selected").alias(f"{name}_")).select(
+        *((of[c].cast(docs.schema[c].dataType) if c in of else row[c]).alias(c) for c in docs.columns))
