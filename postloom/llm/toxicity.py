@@ -160,12 +160,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalMode
         return OrdinalModel()
     feature, _ = _flat(table["features"])
     size, words = _flat(table["sizes"])
-    word = np.repeat(np.arange(len(size)), size)
-    owner = np.repeat(np.arange(len(y)), words)[word]
-    pairs = np.unique(owner * (1 << 31) + feature)  # distinct (row, feature)
-    rows_of = pairs >> 31
-    names, back = np.unique(pairs & (1 << 31) - 1, return_inverse=True)
-    del pairs, owner
+    per_text = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(words)])]
+    # distinct features of each text, one text at a time, so that the driver holds few arrays of all features
+    own = [np.unique(feature[a:b]) for a, b in zip(per_text, per_text[1:], strict=False)]
+    rows_of = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in own])
+    features = np.concatenate(own)
+    del own
+    names = np.unique(features)
+    back = np.searchsorted(names, features).astype(np.int32)
+    del features
     has = np.bincount(back, minlength=len(names))
     has_toxic = np.bincount(back, weights=y[rows_of] > 0, minlength=len(names))
     ratio = likelihood_ratios(has, has_toxic, len(y), int((y > 0).sum()))
@@ -178,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalMode
     row, col = rows_of[held], place[back][held]
     if set(shares) <= {0, 1}:
         toxic_names = names[chosen[ratio[chosen] > 0]]
+        word = np.repeat(np.arange(len(size), dtype=np.int32), size)
         hits = np.unique(word[np.isin(feature, toxic_names)])
         hits = np.bincount(np.repeat(np.arange(len(y)), words)[hits], minlength=len(y))
         y = np.where(y > 0, 1 + (hits >= GRADE_TWO), 0)
