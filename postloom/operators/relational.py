@@ -139,15 +139,16 @@ def mark_batch(df: DataFrame, limit: int | None = None) -> DataFrame:
     return d.join(F.broadcast(stop)).where("_stop is null or pos < _stop").drop("_stop")  # one row
 
 
-def login_breaker(df: DataFrame, run: str, order: str, failed_login: Column, threshold: int = 2) -> DataFrame:
-    """Adds stopped: true after `threshold` login failures in a row within a run."""
+def login_breaker(df: DataFrame, run: str, order: str, failed_login: Column, threshold: int = 2, processed: Column | None = None) -> DataFrame:
+    """Adds stopped: true after `threshold` login failures in a row within a run. Only processed items count: skipped ones
+    neither fail nor end a row of failures."""
+    d = df.withColumn("_done", F.lit(True) if processed is None else F.coalesce(processed, F.lit(False)))
     w = Window.partitionBy(run).orderBy(order)
     streak = F.lit(True)
     for k in range(threshold):
         streak = streak & F.coalesce(F.lag(failed_login, k).over(w) if k else failed_login, F.lit(False))
-    d = df.withColumn("_streak", streak)
-    tripped = d.where("_streak").groupBy(run).agg(F.min(order).alias("_trip"))
-    return d.join(tripped, run, "left").withColumn("stopped", F.coalesce(F.col(order) > F.col("_trip"), F.lit(False))).drop("_streak", "_trip")
+    tripped = d.where("_done").withColumn("_streak", streak).where("_streak").groupBy(run).agg(F.min(order).alias("_trip"))
+    return d.join(tripped, run, "left").withColumn("stopped", F.coalesce(F.col(order) > F.col("_trip"), F.lit(False))).drop("_done", "_trip")
 
 
 def page_plan(targets: DataFrame, size: int = 10, cap: int = 100) -> DataFrame:
@@ -161,10 +162,15 @@ def page_plan(targets: DataFrame, size: int = 10, cap: int = 100) -> DataFrame:
 
 
 def stop_paging(pages: DataFrame) -> DataFrame:
-    """Pages (keyword, page_number, requested, received) up to and with the first short or empty one."""
+    """Pages (keyword, page_number, requested, received) up to and with the first short or empty one. Columns has_next
+    and failed are minded where they are: no page follows one without a next, and a page that failed isn't taken."""
     w = Window.partitionBy("keyword").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
-    short = F.max((F.col("received") < F.col("requested")).cast("int")).over(w)
-    return pages.withColumn("_s", F.coalesce(short, F.lit(0))).where("_s = 0").drop("_s")
+    last = F.col("received") < F.col("requested")
+    if "has_next" in pages.columns:
+        last = last | ~F.coalesce("has_next", F.lit(True))
+    failed = F.coalesce("failed", F.lit(False)) if "failed" in pages.columns else F.lit(False)
+    before = F.max((last | failed).cast("int")).over(w)
+    return pages.withColumn("_s", F.coalesce(before, F.lit(0))).where((F.col("_s") == 0) & ~failed).drop("_s")
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -214,3 +220,43 @@ def post_keywords(posts: DataFrame, keywords: DataFrame, existing: DataFrame | N
 def keywords_in_order(words: Column) -> Column:
     """Stripped, blank ones dropped, each once, in order."""
     return F.array_distinct(F.filter(F.transform(words, lambda w: F.trim(w)), lambda k: k != ""))
+
+
+def dedupe_up_to(df: DataFrame, keys: list[str], order: str, limit: int | None) -> DataFrame:
+    """The first row of each key, and of these the first `limit` in order."""
+    first = dedupe_first(df, keys, order)
+    return first if limit is None else with_global_rank(first, [order], "_n").where(F.col("_n") <= limit).drop("_n")
+
+
+def first_per_flag(df: DataFrame, flag: str, order: str, most: dict[bool, int]) -> DataFrame:
+    """The first rows of each value of a flag in order, as many as most says."""
+    ranked = rank_per_key(df, [flag], order, "_n")
+    cap = F.create_map(*(F.lit(x) for pair in most.items() for x in pair))
+    return ranked.where(F.col("_n") <= F.coalesce(F.element_at(cap, F.col(flag)), F.lit(0))).drop("_n")
+
+
+def attempts(log: DataFrame, item: str, order: str, retryable: Column, most: int) -> DataFrame:
+    """The attempts that are made: each item's tries in order, numbered, up to the first that succeeded or can't be
+    repeated (column failed, and retryable), and at most `most`."""
+    w = Window.partitionBy(item).orderBy(order)
+    goes_on = F.coalesce(F.col("failed") & retryable, F.lit(False))
+    ended = F.max((~goes_on).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = log.withColumns({"attempt": F.row_number().over(w), "_ended": F.coalesce(ended, F.lit(0))})
+    return d.where((F.col("_ended") == 0) & (F.col("attempt") <= most)).drop("_ended")
+
+
+def with_ids(new: DataFrame, order: str, name: str, old: DataFrame | None = None) -> DataFrame:
+    """new with ids that go on from the greatest of old, in order: the same input gives the same ids."""
+    start = 0 if old is None else old.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+    return with_global_rank(new, [order], "_n").withColumn(name, (F.col("_n") + F.lit(start)).cast("bigint")).drop("_n")
+
+
+def platforms_in_order(words: Column, known: tuple[str, ...] = ("x", "facebook")) -> Column:
+    """Platforms of a list in lower case, blank ones dropped, each once; null if one isn't known."""
+    clean = F.array_distinct(F.filter(F.transform(words, lambda w: F.lower(F.trim(w))), lambda k: k != ""))
+    return F.when(~F.exists(clean, lambda k: ~k.isin(*known)), clean)
+
+
+def ordered_platforms(wanted: Column, enabled: Column) -> Column:
+    """Enabled platforms in the wanted order, then the others in their own."""
+    return F.array_union(F.filter(wanted, lambda k: F.array_contains(enabled, k)), enabled)

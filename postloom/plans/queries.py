@@ -120,11 +120,11 @@ def merge_contexts_job(spark, d):
 
 
 @query("""SELECT pos, regexp_replace(regexp_extract(trim(url), '^([^?#]*)', 1), '/+$', '') ||
-  CASE WHEN len(kv) = 0 THEN '' ELSE '?' || array_to_string(kv, '&') END AS cleaned FROM (SELECT pos, url,
+  CASE WHEN len(kv) = 0 THEN '' ELSE '?' || replace(array_to_string(kv, '&'), 'amp;', 'amp%3B') END AS cleaned FROM (SELECT pos, url,
   list_filter(string_split(regexp_extract(trim(url), '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND NOT regexp_matches(x, '^(comment_id|fbclid|eid|mibextid|rdid|__cft__|__tn__)=')) AS kv
-  FROM c WHERE url IS NOT NULL AND NOT contains(url, '&amp;')) t""")
+  FROM c WHERE url IS NOT NULL) t""")
 def clean_tracking_url(spark, d):
-    v = views.search(spark, d).where("url is not null and not contains(url, '&amp;')")
+    v = views.search(spark, d).where("url is not null")
     return v.select("pos", url.clean_tracking(F.col("url")).alias("cleaned"))
 
 
@@ -265,22 +265,22 @@ def batch_summary(spark, d):
 
 
 @query("""SELECT keyword, search_n, accepted_n, failed_n, CASE WHEN accepted_n = 0 THEN 'no_accepted_urls' WHEN failed_n > 0 THEN 'batch_completed_with_failures' ELSE 'success' END AS pipeline_status
-  FROM (SELECT keyword, count(*) AS search_n, count(DISTINCT post_id) FILTER (platform = 'facebook') AS accepted_n, count(*) FILTER (platform = 'facebook' AND status = 'failed' AND pos % 3 = 0 AND keyword <> 'view') AS failed_n FROM c GROUP BY 1)""")
+  FROM (SELECT keyword, count(*) AS search_n, count(DISTINCT post_id) FILTER (platform = 'facebook') AS accepted_n, count(*) FILTER (platform = 'facebook' AND status = 'failed') AS failed_n FROM c GROUP BY 1)""")
 def pipeline_status(spark, d):
     fb = F.col("platform") == "facebook"
     a = classified(spark, d).groupBy("keyword").agg(
         F.count("*").alias("search_n"), F.count_distinct(F.when(fb, F.col("post_id"))).alias("accepted_n"),
-        F.count(F.when(fb & (F.col("status") == "failed") & (F.col("pos") % 3 == 0) & (F.col("keyword") != "view"), 1)).alias("failed_n"))
+        F.count(F.when(fb & (F.col("status") == "failed"), 1)).alias("failed_n"))
     return a.withColumn("pipeline_status", F.when(F.col("accepted_n") == 0, "no_accepted_urls").when(
         F.col("failed_n") > 0, "batch_completed_with_failures").otherwise("success"))
 
 
-_SPLIT = ", o AS (SELECT * FROM c WHERE half = 'old' AND platform IS NOT NULL AND pos % 3 = 0), n AS (SELECT * FROM c WHERE half = 'new' AND platform IS NOT NULL) "
+_SPLIT = ", o AS (SELECT * FROM c WHERE half = 'old' AND platform IS NOT NULL), n AS (SELECT * FROM c WHERE half = 'new' AND platform IS NOT NULL) "
 
 
 def _halves(spark, d):
     c = classified(spark, d).where("platform is not null")
-    return c.where("half = 'old' and pos % 3 = 0"), c.where("half = 'new'")
+    return c.where("half = 'old'"), c.where("half = 'new'")
 
 
 @query(_SPLIT + "SELECT pos, platform, post_id FROM n WHERE post_id NOT IN (SELECT post_id FROM o) AND url NOT IN (SELECT url FROM o) AND canonical_url NOT IN (SELECT canonical_url FROM o)")
@@ -374,11 +374,11 @@ def limit_supported(spark, d):
     return rel.mark_batch(classified(spark, d), 100).select("pos", "skip_reason")
 
 
-@query(""", e AS (SELECT user_id, pos, error_message = 'login wall found' OR keyword = 'error' AS bad FROM c), g AS (SELECT *, coalesce(bad AND lag(bad) OVER (PARTITION BY user_id ORDER BY pos), false) AS trip FROM e),
-t AS (SELECT user_id, min(pos) AS trip_pos FROM g WHERE trip GROUP BY 1) SELECT user_id, pos, coalesce(pos > trip_pos, false) AS stopped FROM g LEFT JOIN t USING (user_id)""")
+@query(""", e AS (SELECT user_id, pos, error_message = 'login wall found' OR keyword = 'error' AS bad, status <> 'skipped' AS done FROM c), g AS (SELECT *, coalesce(bad AND lag(bad) OVER (PARTITION BY user_id ORDER BY pos), false) AS trip FROM e WHERE done),
+t AS (SELECT user_id, min(pos) AS trip_pos FROM g WHERE trip GROUP BY 1) SELECT user_id, pos, coalesce(pos > trip_pos, false) AS stopped FROM e LEFT JOIN t USING (user_id)""")
 def login_wall_breaker(spark, d):
     bad = F.coalesce((F.col("error_message") == "login wall found") | (F.col("keyword") == "error"), F.lit(False))
-    return rel.login_breaker(views.search(spark, d), "user_id", "pos", bad).select("user_id", "pos", "stopped")
+    return rel.login_breaker(views.search(spark, d), "user_id", "pos", bad, processed=F.col("status") != "skipped").select("user_id", "pos", "stopped")
 
 
 @query("""SELECT pos, CASE WHEN pos % 3 = 0 THEN 'Anna Bell' END AS author, CASE WHEN pos % 3 = 0 THEN 'Green river walk ' || (pos % 7) WHEN pos % 3 = 1 THEN title END AS content FROM c""")

@@ -40,7 +40,8 @@ SEARCH = {
     "error_message": """CASE WHEN event_id % 5 <> 2 THEN NULL ELSE CASE event_id % 9 WHEN 0 THEN 'This content is unavailable'
         WHEN 1 THEN 'login wall found' WHEN 2 THEN 'too many requests' WHEN 3 THEN 'Timeout 30000ms' WHEN 4 THEN 'net::ERR_RESET'
         WHEN 5 THEN 'Unsupported page' WHEN 6 THEN 'validation of text' WHEN 7 THEN 'no container' ELSE 'odd' END END""",
-    "half": "CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END",
+    # earlier and later rows; some posts are only among the later ones
+    "half": "CASE WHEN event_id % 2 = 0 AND event_id % 997 % 3 > 0 AND event_id % 499 % 3 > 0 THEN 'old' ELSE 'new' END",
 }
 #: The moment of collection of every row of the views.
 AS_OF = "2024-03-10T12:30:45Z"
