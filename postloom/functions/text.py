@@ -110,7 +110,14 @@ UNAVAILABLE = {
 }
 COMMENTS_OFF = ("turned off commenting for this post", "comments are turned off", "commenting has been turned off")
 NO_COMMENTS = ("no comments yet", "be the first to comment", "no comments")
-EXPAND_COMMENTS = ("view more comments", "see more comments", "view previous comments", "view more replies", "more comments")
+# Phrases that open further comments, user-interface words of comments and dialogs, and labels of posts.
+EXPAND_COMMENTS = ("view more comments", "see more comments", "view previous comments", "more comments", "view more replies")
+COMMENT_WORDS = ("like", "reply", "share", "comment", "follow", "see more", "edited", "view more replies", "write a reply")
+DIALOG_WORDS = ("facebook", "join", "like", "react", "reply", "share", "send", "comment", "shared with public group")
+PERMALINK_MARKS = ("/posts/", "story_fbid=", "permalink.php")
+TRY_AGAIN_MARKS = ("timeout", "timed out", "page crash", "navigation")
+TRY_AGAIN_TYPES = ("PlaywrightTimeoutError", "PlaywrightError")
+NEVER_AGAIN_TYPES = ("FacebookLoginRequiredError", "FacebookPostUnavailableError", "FacebookPostNotFoundError", "ValueError")
 
 
 def looks_like_post(text: Column) -> Column:
@@ -178,3 +185,49 @@ def normalize_error(error_type: Column, message: Column) -> Column:
 
 def format_cell(c: Column) -> Column:
     return F.when(c, "yes").otherwise("no")
+
+
+def expands_comments(text: Column) -> Column:
+    return F.coalesce(has_any(F.lower(collapse(text)), EXPAND_COMMENTS), F.lit(False))
+
+
+def no_comment_author(text: Column, relative: Column) -> Column:
+    """Whether text can't be who wrote a comment: blank, a word of the page, or a relative time (as relative says)."""
+    low = F.lower(collapse(text))
+    return F.coalesce((low == "") | relative | low.isin(*COMMENT_WORDS), F.lit(True))
+
+
+def dialog_noise(text: Column, metric: Column) -> Column:
+    """Whether a dialog's line carries no content; metric is its count, if it has one."""
+    low = F.lower(collapse(text))
+    return F.coalesce((F.length(low) <= 1) | low.isin(*DIALOG_WORDS) | (metric.isNotNull() & (F.length(low) <= 8)), F.lit(True))
+
+
+def author_of_label(label: Column) -> Column:
+    """The name in "Actions for this post by ..." or "...'s Post", if it is a valid one."""
+    plain = F.trim(label)
+    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(plain, r"(?is)actions for this post by\s+(.+)$", 1)), F.lit("")),
+                      F.nullif(F.trim(F.regexp_extract(plain, r"(?s)^(.*)['\u2019]s Post$", 1)), F.lit("")))
+    return F.when(valid_author_name(name), name)
+
+
+def single_permalink(url: Column, post_id: Column) -> Column:
+    return F.coalesce(url.contains(post_id) & has_any(url, PERMALINK_MARKS), F.lit(False))
+
+
+def try_again(kind: Column, message: Column) -> Column:
+    """Whether an attempt that failed with an exception of this kind and message is worth another."""
+    return F.when(kind.isin(*NEVER_AGAIN_TYPES), False).when(kind.isin(*TRY_AGAIN_TYPES), True).otherwise(
+        F.coalesce(has_any(F.lower(message), TRY_AGAIN_MARKS), F.lit(False)))
+
+
+def extraction_status(from_page: Column, author: Column, content: Column, time: Column, group_identity: Column) -> Column:
+    """(status, error): success if the page gave author, content and time, or content and the group's identity; the error of
+    a partial one names what is missing. Null if there is nothing at all."""
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+    a, c, t = map(given, (author, content, time))
+    g = group_identity & c
+    status = F.when(from_page & ((a & c & t) | g), "success").otherwise("partial")
+    names = F.concat_ws(", ", F.when(~a, "author"), F.when(~c, "content"), F.when(~t & ~g, "publish_time"))
+    error = F.when(status == "partial", F.concat(F.lit("Missing core field(s): "), names, F.lit(".")))
+    return F.when(a | c | t, F.struct(status.alias("status"), error.alias("error")))

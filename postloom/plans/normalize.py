@@ -149,3 +149,16 @@ def author_key(author: Column) -> Column:
 def manifest_error(platform: Column, contexts_ok: Column, canonical_platform: Column) -> Column:
     return F.when(~platform.eqNullSafe(F.lit("facebook")), "not a Facebook item").when(~contexts_ok, "search_contexts must be an array").when(
         ~canonical_platform.eqNullSafe(F.lit("facebook")), "canonical_url is unsupported")
+
+
+def final_error(texts: dict[str, Column], counts: dict[str, Column], comments: Column) -> Column:
+    """The first rule that a final record breaks, else null; messages are fixed values of the format."""
+    out = F.when(comments.isNull(), "Final result comments must be a list.")
+    for name, c in texts.items():
+        out = out.when(c.isNull(), f"Final result {name} must be a string.")
+    for name, c in counts.items():
+        out = out.when(c < 0, f"Final result {name} must be a non-negative integer or null.")
+    for name in ("comment_content", "comment_time", "comment_author"):
+        lacking = F.exists(F.transform(comments, lambda c: c.getField(name).isNull()), lambda x: x)  # noqa: B023  read at once
+        out = out.when(lacking, f"Final comment {name} must be a string.")
+    return out

@@ -36,7 +36,8 @@ def parse_lines(lines: DataFrame, on_error: str) -> DataFrame:
     if on_error == "count":
         return d.withColumn("v", F.when(F.col("reject_reason").isNull(), F.col("v")))
     if on_error == "raise":
-        message = F.concat(F.lit("invalid JSON line: "), F.left("line", F.lit(200)))
+        number = [F.lit("line "), F.col("line_number").cast("string"), F.lit(": ")] if "line_number" in lines.columns else []
+        message = F.concat(*number, F.lit("invalid JSON line: "), F.left("line", F.lit(200)))
         d = d.withColumn("reject_reason", F.when(F.col("reject_reason") == BAD_JSON, F.raise_error(message).cast("string")).otherwise(F.col("reject_reason")))
     return d.where("reject_reason is null")
 

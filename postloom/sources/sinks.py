@@ -43,9 +43,10 @@ def csv_rows(final: DataFrame) -> DataFrame:
 
 
 def write_csv(final: DataFrame, path: str) -> None:
-    """A folder of CSV parts with a header; each begins with a byte-order mark, as the header's first name does."""
+    """A folder of CSV parts with a header; each begins with a byte-order mark, as the header's first name does. Values are
+    quoted where they need it, so that no quote comes before the mark."""
     rows = csv_rows(final)
-    rows.withColumnRenamed(FINAL_FIELDS[0], "﻿" + FINAL_FIELDS[0]).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    rows.withColumnRenamed(FINAL_FIELDS[0], "﻿" + FINAL_FIELDS[0]).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def log_fields(extras: Column) -> Column:

@@ -114,3 +114,43 @@ def test_ranks_over_many_blocks(spark, tmp_path):
         seen[word] = seen.get(word, 0) + 1
         want.append((i, seen[word]))
     assert sorted((r.id, r["rank"]) for r in spark.read.parquet(f"{tmp_path}/each").collect()) == sorted(want)
+
+
+def test_csv_begins_with_the_mark(spark, tmp_path):
+    row = ("An \"A\"", "line\nbreak, comma", "", 1, None, 0, [("c", "t", "a")])
+    schema = ("author string, content string, publish_time string, like_count long, share_count long, comment_count long,"
+              " comments array<struct<comment_content:string,comment_time:string,comment_author:string>>")
+    sinks.write_csv(spark.createDataFrame([row], schema).coalesce(1), f"{tmp_path}/out")
+    raw = next(tmp_path.glob("out/*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfauthor,")
+    import csv
+    import io
+    got = list(csv.reader(io.StringIO(raw.decode("utf-8-sig"))))
+    assert got[1][:2] == list(row[:2]) and got[1][2:6] == ["", "1", "", "0"]
+
+
+def test_numbered_lines_name_the_bad_one(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\nnot json\n')
+    with pytest.raises(Exception, match="line 3: invalid JSON line"):
+        jsonl.jsonl_numbered(spark, f"{tmp_path}/a.jsonl").select("line_number", F.col("v").cast("string")).collect()
+
+
+def test_breaker_minds_processed_items_only(spark):
+    rows = [(1, k, bad, done) for k, (bad, done) in enumerate([(True, True), (False, False), (True, True), (False, True), (False, True)])]
+    df = spark.createDataFrame(rows, "run int, pos int, bad boolean, done boolean")
+    got = {r.pos: r.stopped for r in relational.login_breaker(df, "run", "pos", F.col("bad"), processed=F.col("done")).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True}
+    assert not any(r.stopped for r in relational.login_breaker(df, "run", "pos", F.col("bad")).collect())
+
+
+def test_platforms_and_attempts(spark):
+    df = spark.createDataFrame([(0, [" X", "", "facebook", "x"]), (1, ["X", "other"]), (2, [])], "k int, w array<string>")
+    assert {r.k: r.p for r in df.select("k", relational.platforms_in_order(F.col("w")).alias("p")).collect()} == {0: ["x", "facebook"], 1: None, 2: []}
+    log = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("b", 4, False), ("b", 5, True)], "item string, pos int, failed boolean")
+    got = relational.attempts(log, "item", "pos", F.lit(True), 2).collect()
+    assert sorted((r.item, r.pos, r.attempt) for r in got) == [("a", 1, 1), ("a", 2, 2), ("b", 4, 1)]
+
+
+@pytest.mark.parametrize(("label", "name"), [("Actions for this post by Maya Stone", "Maya Stone"), ("Maya’s Post", "Maya"), ("'s Post", None), ("Join's Post", None), (None, None), ("other", None)])
+def test_author_of_label(spark, label, name):
+    assert spark.createDataFrame([(label,)], "x string").select(text.author_of_label(F.col("x")).alias("n")).first().n == name
