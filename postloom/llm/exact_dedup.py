@@ -7,8 +7,9 @@ others join the exact bucket, and the texts of the two representatives are compa
 false positive nor a digest collision merges different texts.
 
 Sizes: digests, not texts, are shuffled and grouped, with map-side combine, so a group of copies with a third of all
-rows is a few partial rows. Texts move once, to fetch the representatives for the byte check. Filters take about nine
-bits a snapshot digest and stay with their buckets; they are never broadcast.
+rows is a few partial rows, and its rows meet their group by broadcast. Of texts only the representatives that the byte
+check needs move; a bitmap of fixed size keeps the others in place. Filters take about nine bits a snapshot digest and
+stay with their buckets; they are never broadcast.
 
 Cases: null text counts as empty; texts are compared after each run of ASCII white space becomes one space; of equal
 texts the least doc_id stays, a null doc_id only if there is no other; of rows that repeat both doc_id and text one
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import bitmap, checkpoint, in_bitmap, join_counted, text_or_empty
 
 KEYS_PER_BUCKET = 500_000
 MIN_BUCKETS = 256
@@ -178,7 +179,9 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
     texts_of = {}
     for side, docs in (("new", batch), ("old", snapshot)):
         wanted = pairs.select("sha", F.col(f"{side}_first.doc_id").alias("id"))
-        norm = docs.select("doc_id", normalised().alias("norm")).withColumn("sha", F.sha2("norm", 256))
+        norm = docs.select("doc_id", normalised().alias("norm")).withColumn("sha", F.sha2("norm", 256)).withColumn("h", F.xxhash64("sha"))
+        # most texts are no representatives and stay where they are
+        norm = in_bitmap(norm, "h", bitmap(wanted.select(F.xxhash64("sha").alias("h")), "h"))
         texts_of[side] = norm.join(
             wanted.withColumnRenamed("sha", "wanted"),
             (F.col("sha") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi",
@@ -193,11 +196,11 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
                   F.struct(F.least("old_first", "new_first").alias("first"),
                            (F.coalesce("old_n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("n")))
     groups = groups.select(
-        "sha", F.coalesce("maybe", F.lit(False)).alias("maybe"),
+        "sha", (F.coalesce("old_n", F.lit(0)) + F.coalesce("new_n", F.lit(0))).alias("rows"), F.coalesce("maybe", F.lit(False)).alias("maybe"),
         F.coalesce(both, F.struct(F.col("old_first").alias("first"), F.col("old_n").alias("n"))).alias("of_old"),
         F.coalesce(both, F.struct(F.col("new_first").alias("first"), F.col("new_n").alias("n"))).alias("of_new"))
     mine = F.when(F.col("part") == "snapshot", F.col("of_old")).otherwise(F.col("of_new"))
-    return rows.join(groups, "sha").select(
+    return join_counted(rows, groups, "sha", "rows").select(
         "doc_id", mine["first"]["doc_id"].alias("keep_id"), mine["n"].alias("group_size"),
         (mine["first"]["row"] == F.col("row")).alias("kept"), F.col("sha").alias("text_sha256"), "part",
         F.when(F.col("part") == "batch", F.col("maybe")).alias("screened"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, small_batches, text_or_empty
+from .common import checkpoint, connected_components, join_counted, small_batches, text_or_empty
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -156,9 +156,9 @@ def close_links(distinct: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     rows = checkpoint(fingerprints(docs, size))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = connected_components(close_links(distinct)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_fp = rooted.join(named, "root").select("fp", "rows", "component_id")
+    return join_counted(rows, of_fp, "fp", "rows").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -53,3 +53,36 @@ def test_planted_edited_copies(spark):
     fps = [fingerprint(shingle_hashes((t or "").encode())) for _, t in rows]
     far = sum(all((fps[i] ^ fps[j]).bit_count() > 2 for j in range(len(rows)) if j != i) for i in range(len(rows)))
     assert far > 2 * len(got)
+
+
+def test_op7_links_at_one_and_two_bits(spark, monkeypatch):
+    """Planted fingerprints at one to three bits through the whole operator, in chains and beside unlinked ones."""
+    from pyspark.sql import functions as F
+
+    from postloom.llm import common, simhash
+
+    rng = random.Random(6)
+    fps = []
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        fps.append(x)
+        for bits in (1, 2, 3):
+            y = x
+            for at in rng.sample(range(64), bits):
+                y ^= 1 << at
+            fps += [y, y] if bits == 1 else [y]
+    monkeypatch.setattr(common, "FREQUENT", 2)  # keys of two rows count as frequent
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    rows = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size: docs.select("doc_id", F.col("fp")))
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(rows).collect()}
+    least = list(range(len(fps)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(fps)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 2 and least[i] != least[j]:
+                    least[i] = least[j] = min(least[i], least[j])
+                    changed = True
+    assert got == dict(enumerate(least)) and len(set(least)) > 60
