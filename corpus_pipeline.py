@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from postloom.llm import exact_dedup as exact
 from postloom.llm import pii, toxicity
-from postloom.llm.common import shared_folder, stored
-from postloom.llm.near_copies import bitmap, in_bitmap, near_copies, out_of_bitmap
+from postloom.llm.common import bitmap, in_bitmap, out_of_bitmap, shared_folder, stored
+from postloom.llm.near_copies import near_copies
 from postloom.llm.packing import pack_documents
 
 
