@@ -184,7 +184,7 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
         norm = in_bitmap(norm, "h", bitmap(wanted.select(F.xxhash64("sha").alias("h")), "h"))
         texts_of[side] = norm.join(
             wanted.withColumnRenamed("sha", "wanted"),
-            (F.col("sha") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi",
+            (F.col("sha") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("id")),  # no semi-join: it would be moved before the bitmap
         ).select("sha", F.col("norm").alias(f"{side}_norm"))
     same = texts_of["new"].join(texts_of["old"], "sha").where("new_norm = old_norm").select("sha").distinct()
 
