@@ -7,7 +7,8 @@ hashed to a slot, and the table, whose size is fixed by its parameter and not by
 row and no shuffle, so hot keys, copies and lost executors need no care.
 
 Cases: a null key is placed by the digest of the row's text where there is one, so that rows without a key spread;
-rows that repeat a key share a shard; an empty table gives no rows; other columns are passed through unchanged.
+rows that repeat a key share a shard; an empty table gives no rows; texts of any length are hashed whole; other columns
+are passed through unchanged, but columns named slot and shard give way to the results.
 """
 
 from __future__ import annotations
