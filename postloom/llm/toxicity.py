@@ -34,6 +34,7 @@ SAMPLE = 1500  # labelled rows a class: the bound of the fit
 FEATURES = 3000
 GRADE_TWO = 3
 LEAST_ROWS = 4  # labelled rows that must have a feature
+BLOCK = 1 << 18  # features that the driver handles at once
 LEAST_RATIO = 20.0  # twice the log likelihood ratio; chance exceeds it about once in 100,000 features
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -152,6 +153,20 @@ def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
 
 
+def _by_block(n: int, kind, of) -> np.ndarray:
+    """of(slice) for all slices of n, end to end, without large values in between."""
+    out = np.empty(n, kind)
+    for at in range(0, n, BLOCK):
+        out[at : at + BLOCK] = of(slice(at, at + BLOCK))
+    return out
+
+
+def _counts(places: np.ndarray, n: int, chosen=lambda part: slice(None)) -> np.ndarray:
+    """How often each place below n occurs among the chosen ones."""
+    return sum((np.bincount(places[at : at + BLOCK][chosen(slice(at, at + BLOCK))], minlength=n) for at in range(0, len(places), BLOCK)),
+               np.zeros(n, np.int64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalModel:
     """Fit on documents that labels (doc_id, label) covers; labels above 1 are taken as grades as they are."""
     table, shares = _sample(docs, labels, label)
@@ -167,27 +182,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> OrdinalMode
     features = np.concatenate(own)
     del own
     names = np.unique(features)
-    back = np.searchsorted(names, features).astype(np.int32)
+    back = _by_block(len(features), np.int32, lambda part: np.searchsorted(names, features[part]))
     del features
-    has = np.bincount(back, minlength=len(names))
-    has_toxic = np.bincount(back, weights=y[rows_of] > 0, minlength=len(names))
+    toxic = y > 0
+    has, has_toxic = _counts(back, len(names)), _counts(back, len(names), lambda part: toxic[rows_of[part]])
     ratio = likelihood_ratios(has, has_toxic, len(y), int((y > 0).sum()))
     ratio[has < LEAST_ROWS] = 0
     chosen = np.flatnonzero(np.abs(ratio) >= LEAST_RATIO)
     chosen = chosen[np.argsort(-np.abs(ratio[chosen]), kind="stable")][:FEATURES]
-    place = np.full(len(names), -1)
+    place = np.full(len(names), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    held = place[back] >= 0
-    row, col = rows_of[held], place[back][held]
+    at = place[back]
+    held = at >= 0
+    row, col = rows_of[held], at[held]
+    del back, rows_of, at, held
     if set(shares) <= {0, 1}:
         toxic_names = names[chosen[ratio[chosen] > 0]]
         word = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        hits = np.unique(word[np.isin(feature, toxic_names)])
+        hits = np.unique(word[_by_block(len(feature), bool, lambda part: np.isin(feature[part], toxic_names))])
         hits = np.bincount(np.repeat(np.arange(len(y)), words)[hits], minlength=len(y))
         y = np.where(y > 0, 1 + (hits >= GRADE_TWO), 0)
     grades = sorted(set(y.tolist()))
     y = np.searchsorted(grades, y)
     weight = np.array([shares[k] / max(1, (labelled == k).sum()) for k in labelled])
+    del table, feature
+    pa.default_memory_pool().release_unused()
     w, thresholds = fit_ordinal(row, col, len(chosen), y, weight, len(grades))
     return OrdinalModel({int(f): float(v) for f, v in zip(names[chosen], w, strict=True)}, thresholds)
 
