@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
-from .common import documents
+from .common import documents, shared_folder
 from .exact_dedup import exact_dedup, split_by_id
+from .hard_negatives import hard_negatives
 from .line_dedup import fuzzy_lines
 from .packing import pack_documents
+from .periodic_runs import periodic_runs
 from .pii import find_spans
 from .quality import BOILERPLATE, clean_lines
 from .sharding import assign_shards, shard_names
 from .simhash import simhash_components
 from .substring_dedup import remove_repeated_windows
+from .token_files import read_token_files, write_token_files
 from .toxicity import fit, score
 
 
@@ -60,11 +67,49 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives(noisy, F.col("vec_id") % 100 == 0)
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, folder, with_ids=False)
+
+
+def planted_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planting: one document in ten, by its id's crc32, repeats a stretch of its own to its end."""
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(documents(spark, sf_dir), planted_period)
+    # the longest run, ties by least start, then period
+    best = F.expr("reduce(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>), (a, r) -> "
+                  "if(a is null or r.length > a.length or (r.length = a.length and (r.start, r.period) < (a.start, a.period)), r, a))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = found.withColumn("best", best)
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_toxicity, op3_exact_dedup, op4_quality_rules, op5_line_dedup, op6_best_fit_packing, op7_simhash_near_dedup, op8_pii,
-        op9_sharding, op10_byte_bpe,
+        op9_sharding, op10_byte_bpe, op11_hard_negatives, op12_token_files, op13_periodic_runs,
     )
 }
 
