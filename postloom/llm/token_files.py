@@ -9,10 +9,10 @@ A folder holds, for each part NNNNN:
 and `parts.parquet`, written last: of each part its counts of documents and ids and the sums of those before it, the
 part's bases. A document's place in the whole is its part's base and its own offset. A folder without it isn't complete.
 
-1. Texts are encoded in a map and stored as bytes of ids, so that no id is made twice.
-2. They are dealt by ranges of doc_id, further told apart by hash and place, so that even one id of all rows is split.
-3. Each task writes its part in one pass under a name of its own and moves it into place; a repeated task writes
-   the same bytes. Counts of parts come back, a few numbers each, and their prefix sums are the bases.
+1. Texts are dealt by ranges of doc_id, further told apart by hash and place, so that even one id of all rows is split.
+2. Each task encodes its texts and writes its part in one pass, under a name of its own, and moves it into place; a
+   repeated task writes the same bytes.
+3. Counts of parts come back, a few numbers each, and their prefix sums are the bases.
 
 The tokenizer is the library's. Pre-tokens never reach over the last of a run of white space, so texts are cut there,
 and each distinct stretch of a batch is encoded once and then taken from a bounded memo.
@@ -28,9 +28,11 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
@@ -40,9 +42,9 @@ from tokenizers import Tokenizer
 
 from .common import small_batches, stored
 
-#: Ids of one part, about, at scale; small inputs have smaller parts, as many as the session shuffles to.
-PART_IDS = 1 << 26
-LEAST_IDS = 1 << 18
+#: Bytes of text of one part, about, at scale; small inputs have smaller parts, as many as the session shuffles to.
+PART_BYTES = 1 << 28
+LEAST_BYTES = 1 << 20
 #: Stretches that the memo holds in each of its two generations, and the bytes of one that is still kept.
 MEMO = 400_000
 MEMO_KEY = 64
@@ -53,11 +55,13 @@ READERS = 20_000
 _PARTS = pa.schema([("part", pa.int64()), ("documents", pa.int64()), ("ids", pa.int64()), ("first_document", pa.int64()), ("first_id", pa.int64()),
                     ("width", pa.int32())])
 
-# ASCII white space; and the bytes that white space or the first byte of further white space in UTF-8 may be
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_MAYBE_SPACE = _SPACE.copy()
-_MAYBE_SPACE[[28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+# Kinds of bytes: ASCII white space; other than a space; not white space, nor what may begin any further one in UTF-8; ASCII letters;
+# marks that pre-tokens of letters leave out (an apostrophe may begin one)
+_SPACE, _LINE, _DARK, _LETTER, _MARK = 1, 2, 4, 8, 16
+_KINDS = np.full(256, _DARK, np.uint8)
+for _kind, _bytes in ((0, b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"), (_SPACE, b" "), (_SPACE | _LINE, b"\t\n\x0b\x0c\r"), (_DARK | _MARK, b".,;:!?()[]{}*#$%&|<>\"-_/"),
+                      (_DARK | _LETTER, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    _KINDS[list(_bytes)] = _kind
 
 
 class StretchEncoder:
@@ -92,12 +96,18 @@ class StretchEncoder:
             return [b""] * len(texts)
         starts = np.frombuffer(starts, "<i8")[texts.offset : texts.offset + len(texts) + 1]
         codes = np.frombuffer(data, np.uint8)[: starts[-1]]
-        whole = [any(x in text for x in self.special) for text in texts.to_pylist()]
-        cut = _SPACE[codes]
-        cut[:-1] &= ~_MAYBE_SPACE[codes[1:]]
-        cut[-1:] = False
-        ends = np.unique(np.concatenate((np.flatnonzero(cut), starts)))
-        ends = ends[ends >= starts[0]]
+        whole = reduce(pc.or_, (pc.match_substring(texts, x) for x in self.special), pa.repeat(False, len(texts))).to_pylist()
+        # cut[i]: a stretch starts at byte i. The last of a run of white space starts one, what follows a line end too, and a mark after a letter
+        cut = np.zeros(len(codes) + 1, bool)
+        if len(codes) > 1:
+            kinds = np.take(_KINDS, codes)
+            now, dark = kinds[:-1], kinds[1:] & _DARK != 0
+            cut[:-2] = (now & _SPACE != 0) & dark
+            cut[1:-1] |= ((now & _LINE != 0) & dark) | ((now & _LETTER != 0) & (kinds[1:] & _MARK != 0))
+        cut[starts[1:] - 1] = False  # what follows is another text's
+        cut[: starts[0]] = False
+        cut[starts] = True
+        ends = np.flatnonzero(cut)
         stretches = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8")), data])
         words = stretches.dictionary_encode()
         ids = pa.array(self._stretches(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
@@ -112,28 +122,6 @@ class StretchEncoder:
 _ENCODERS: dict[tuple[str, int], StretchEncoder] = {}
 
 
-def encode(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, int]:
-    """(doc_id, ids) with the end id last, ids as bytes; and how many bytes an id has."""
-    small_batches(docs.sparkSession)
-    with open(path, encoding="utf-8") as f:
-        model = f.read()
-    width = 2 if max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    name = hashlib.sha256(model.encode()).hexdigest(), width
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    end = end_id.to_bytes(width, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[name] = StretchEncoder(shared.value, width)
-        for batch in batches:
-            ids = [x + end for x in _ENCODERS[name].encode_all(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary"), width
-
-
 def _place(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a folder that may be a URI."""
     return fs.FileSystem.from_uri(folder)
@@ -142,31 +130,40 @@ def _place(folder: str) -> tuple[fs.FileSystem, str]:
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
     """Write docs' ids, with end_id after each document, to a new folder, in ascending order of doc_id."""
     spark = docs.sparkSession
-    encoded, width = encode(docs, path, end_id)
-    encoded = stored(encoded)
-    total = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // width
-    parts = max(1, -(-total // PART_IDS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_IDS)))
+    small_batches(spark)
+    with open(path, encoding="utf-8") as f:
+        model = f.read()
+    width = 2 if max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    name = hashlib.sha256(model.encode()).hexdigest(), width
+    shared = spark.sparkContext.broadcast(model)
+    end = end_id.to_bytes(width, "little")
+
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // PART_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_BYTES)))
     order = F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("at")
-    dealt = encoded.withColumns({"hash": F.xxhash64("ids"), "at": F.monotonically_increasing_id()}).repartitionByRange(
-        parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    dealt = texts.withColumns({"hash": F.xxhash64("text"), "at": F.monotonically_increasing_id()}).repartitionByRange(
+        parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     system, root = _place(folder)
     system.create_dir(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[name] = StretchEncoder(shared.value, width)
         system, root = _place(folder)
         part, own = TaskContext.get().partitionId(), f"{root}/.{uuid.uuid4().hex}"
-        first = next(batches, None)
-        if first is None:
+        batch = next(batches, None)
+        if batch is None:
             return
         lengths = [np.zeros(1, np.int64)]
         with system.open_output_stream(f"{own}.bin") as bin_, system.open_output_stream(f"{own}.ids") as ids_:
-            with pa.ipc.new_file(ids_, pa.schema([first.schema.field("doc_id")])) as keys:
-                batch = first
+            with pa.ipc.new_file(ids_, pa.schema([batch.schema.field("doc_id")])) as keys:
                 while batch is not None:
                     keys.write_batch(batch.select(["doc_id"]))
-                    for ids in batch.column("ids"):
-                        bin_.write(ids.as_buffer())
-                    lengths.append(np.array([len(x.as_buffer()) // width for x in batch.column("ids")], np.int64))
+                    ids = [x + end for x in _ENCODERS[name].encode_all(batch.column("text"))]
+                    bin_.write(b"".join(ids))
+                    lengths.append(np.array([len(x) // width for x in ids], np.int64))
                     batch = next(batches, None)
         offsets = np.cumsum(np.concatenate(lengths)).astype("<i8")
         with system.open_output_stream(f"{own}.idx") as idx:
