@@ -1,7 +1,12 @@
-"""Facts of captured pages: the one module of the engine that runs Python on the executors.
+"""Captured pages as tables: the one module of the engine that runs Python on the executors.
 
-mapInArrow over (url, html), the standard library's parser, one pass a page. Visibility is what static HTML tells
-(hidden, aria-hidden, inline style). Filter rows before, and prune columns after, as Spark can do neither through it.
+One parse a page by the standard library's tokenizer, in mapInArrow. The tree gets the end tags that HTML implies (a
+paragraph ends where a block begins, a list item, cell, row or option where the next one does), in time linear in the page:
+each tag knows where it is open, so no look-up walks the stack. Visibility is what static HTML tells (hidden,
+aria-hidden, inline style). Filter rows before, and prune columns after, as Spark can do neither through it.
+
+`page_elements` gives a row an element in interval encoding: `pre` counts opening tags and `last` is the `pre` of the
+element's last descendant, so b lies in a if a.pre < b.pre <= a.last; `postloom.operators.elements` works on that.
 """
 
 from __future__ import annotations
@@ -14,7 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_SILENT = {"script", "style", "template", "noscript", "head"}
+_SILENT = {"script", "style", "template", "noscript", "head", "title"}
+_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+_BLOCK = {
+    "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary",
+    "table", "ul",
+}
+#: Tags besides whose text stands on lines of its own.
+_BREAKS = _BLOCK | {"br", "tr", "td", "th", "option", "body"}
+# What an opening tag closes: the nearest of the first, if none of the second is open inside it.
+_CELLS, _ROWS = ("td", "th"), ("thead", "tbody", "tfoot")
+_IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu")), **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))), "option": (("option",), ("select",)),
+    "optgroup": (("option", "optgroup"), ("select",)), **dict.fromkeys(_CELLS, (_CELLS, ("table", "tr"))), "tr": (("tr",), ("table",)),
+    **dict.fromkeys(_ROWS, (_ROWS, ("table",))),
+}
+_SCOPE = ("table", "td", "th", "caption", "template", "object", "marquee", "applet")
+_TABLE = {"table", "caption", "td", "th", "tr", *_ROWS}
+
+#: An element's text is given with it up to so many characters; a longer one is a range of its page's text.
+SHORT = 300
+#: Elements of one Arrow batch, about.
+BATCH = 20_000
+
 _LINK = pa.struct([("href", pa.string()), ("text", pa.string()), ("label", pa.string())])
 _TEXTS = pa.list_(pa.string())
 SCHEMA = (
@@ -25,82 +53,159 @@ SCHEMA = (
 )
 
 
-class _Page(HTMLParser):
-    def __init__(self):
+class PageTree(HTMLParser):
+    """A page's elements in order of their opening tags, the page itself first, and its visible text.
+
+    tags, attrs, depth, parent, last, hidden (by an attribute of its own), start and stop (its range of text).
+    """
+
+    def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
-        self.meta: dict[str, str] = {}
-        self.title, self.links, self.times, self.labels = "", [], [], []
-        self.stack: list[tuple[str, dict[str, list[str]], bool]] = []
-        self.body: list[str] = []
-        self.articles: list[str] = []
-        self.messages: list[str] = []
-        self.n = {"role_article": 0, "message_container": 0, "time_or_date_link": 0, "engagement_controls": 0, "descendants": 0}
+        self.tags, self.attrs, self.depth, self.parent = ["#page"], [{}], [0], [-1]
+        self.last, self.hidden, self.start, self.stop = [0], [False], [0], [0]
+        self.stack = [0]
+        self.places: dict[str, list[int]] = {}
+        self.silent = 0
+        self.titles: list[str] = []
+        self.pieces: list[str] = []
+        self.n, self.gap = 0, ""
+        self.feed(page)
+        self.close()
+        self._close_from(0)
+        self.text = "".join(self.pieces)
+
+    def _nearest(self, tags: tuple[str, ...]) -> int:
+        """Where in the stack the innermost of these is, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _close_from(self, place: int) -> None:
+        """Close the elements of the stack from this place on."""
+        while len(self.stack) > place:
+            i = self.stack.pop()
+            tag = self.tags[i]
+            self.last[i] = len(self.tags) - 1
+            self.stop[i] = self.n
+            if i:
+                self.places[tag].pop()
+            self.silent -= self.silences(i)
+            if tag in _BREAKS:
+                self._break()
+
+    def silences(self, i: int) -> bool:
+        return self.hidden[i] or self.tags[i] in _SILENT
+
+    def _break(self) -> None:
+        if self.n and not self.silent:
+            self.gap = "\n"
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        self.n["descendants"] += 1
+        if tag in _BLOCK:
+            p = self._nearest(("p",))
+            if p > self._nearest((*_SCOPE, "button")):
+                self._close_from(p)
+        if tag in _IMPLIED:
+            closed, barrier = _IMPLIED[tag]
+            at = self._nearest(closed)
+            if at > self._nearest(barrier):
+                self._close_from(at)
+        if tag not in _HEAD and self.places.get("head"):
+            self._close_from(self.places["head"][-1])
+        if tag in _BREAKS:
+            self._break()
+        own: dict[str, str] = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
+        style = own.get("style", "").replace(" ", "").lower()
+        i = len(self.tags)
+        self.tags.append(tag)
+        self.attrs.append(own)
+        self.depth.append(len(self.stack))
+        self.parent.append(self.stack[-1])
+        self.hidden.append("hidden" in own or own.get("aria-hidden") == "true" or any(x in style for x in ("display:none", "visibility:hidden", "opacity:0;")) or style.endswith("opacity:0"))
+        self.last.append(i)
+        self.start.append(self.n)
+        self.stop.append(self.n)
+        if tag not in _VOID:
+            self.places.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(i)
+            self.silent += self.silences(i)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.places.get("svg") or self.places.get("math"):
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        at = self._nearest((tag,))
+        if at > self._nearest(("table", "template") if tag in _TABLE - {"table"} else () if tag == "table" else _SCOPE):
+            self._close_from(at)
+
+    def handle_data(self, data):
+        if self.places.get("title"):
+            self.titles.append(data)
+        if self.silent:
+            return
+        words = data.split()  # white space of any kind and length is one space, or one line end between blocks
+        if not words or data[0].isspace():
+            self.gap = self.gap or (" " if self.n else "")
+        if not words:
+            return
+        text = (self.gap if self.n else "") + " ".join(words)
+        if self.gap:  # white space before an element's first text belongs to neither
+            self._skip(len(self.gap))
+        self.gap = " " if data[-1].isspace() else ""
+        self.pieces.append(text)
+        self.n += len(text)
+
+    def _skip(self, length: int) -> None:
+        for i in reversed(self.stack):
+            if self.start[i] != self.n:
+                break
+            self.start[i] += length
+
+    def visible(self, i: int) -> str:
+        return self.text[self.start[i] : max(self.start[i], self.stop[i])]
+
+    def title(self) -> str:
+        return " ".join("".join(self.titles).split())
+
+
+def _is_message(a: dict[str, str]) -> bool:
+    return "message" in (a.get("data-ad-preview"), a.get("data-ad-comet-preview"))
+
+
+def _facts(page: PageTree) -> dict:
+    meta: dict[str, str] = {}
+    n = {"role_article": 0, "message_container": 0, "time_or_date_link": 0, "engagement_controls": 0, "descendants": len(page.tags) - 1}
+    links, articles, messages, times, labels = [], [], [], [], []
+    for i, (tag, a) in enumerate(zip(page.tags, page.attrs, strict=True)):
         label = a.get("aria-label", "")
+        message = _is_message(a)
         if label:
-            self.labels.append(label)
-        self.n["role_article"] += a.get("role") == "article"
-        message = "message" in (a.get("data-ad-preview"), a.get("data-ad-comet-preview"))
-        self.n["message_container"] += message
-        self.n["time_or_date_link"] += tag == "time" or (tag == "a" and bool(label))
-        self.n["engagement_controls"] += any(x in label.lower() for x in ("comment", "share", "reaction", "like"))
+            labels.append(label)
         if tag == "meta" and a.get("content"):
-            self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a["content"])
+            meta.setdefault((a.get("property") or a.get("name") or "").lower(), a["content"])
         if tag == "link" and "canonical" in a.get("rel", "").lower():
-            self.meta.setdefault("canonical", a.get("href", ""))
+            meta.setdefault("canonical", a.get("href", ""))
         if tag == "time" and a.get("datetime"):
-            self.times.append(a["datetime"])
-        if tag in _VOID:
-            return
-        collect: dict[str, list[str]] = {}
+            times.append(a["datetime"])
         if tag == "a" and a.get("href"):
-            collect["a"] = [a["href"], label]
+            links.append({"href": a["href"], "text": _plain(page.visible(i)), "label": label})
         if tag == "article" or a.get("role") == "article":
-            collect["article"] = []
+            articles.append(_plain(page.visible(i)))
         if message:
-            collect["message"] = []
-        if tag == "title":
-            collect["title"] = []
-        style = a.get("style", "").replace(" ", "").lower()
-        hidden = tag in _SILENT and tag != "head" or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
-        self.stack.append((tag, collect, hidden or (bool(self.stack) and self.stack[-1][2])))
+            messages.append(_plain(page.visible(i)))
+        n["role_article"] += a.get("role") == "article"
+        n["message_container"] += message
+        n["time_or_date_link"] += tag == "time" or (tag == "a" and bool(label))
+        n["engagement_controls"] += any(x in label.lower() for x in ("comment", "share", "reaction", "like"))
+    return {"title": page.title() or None, "description": meta.get("description"), "og_title": meta.get("og:title"), "og_description": meta.get("og:description"),
+            "og_url": meta.get("og:url"), "canonical": meta.get("canonical"), "body_text": _plain(page.text), "links": links, "articles": articles,
+            "messages": messages, "times": times, "labels": labels, **n}
 
-    def handle_endtag(self, tag):
-        if tag in _VOID or all(t != tag for t, _, _ in self.stack):
-            return
-        while self.stack:
-            t, collect, _ = self.stack.pop()
-            for kind, got in collect.items():
-                text = " ".join("".join(got[2:] if kind == "a" else got).split())
-                if kind == "a":
-                    self.links.append({"href": got[0], "text": text, "label": got[1]})
-                elif kind == "title":
-                    self.title = self.title or text
-                else:
-                    {"article": self.articles, "message": self.messages}[kind].append(text)
-            if t == tag:
-                return
-
-    def handle_data(self, data):
-        in_title = any(t == "title" for t, _, _ in self.stack)
-        if self.stack and self.stack[-1][2] and not in_title:
-            return
-        for _, collect, _ in self.stack:
-            for got in collect.values():
-                got.append(data)
-        if not in_title:
-            self.body.append(data)
 
-    def facts(self) -> dict:
-        while self.stack:
-            self.handle_endtag(self.stack[-1][0])
-        m = self.meta
-        return {"title": self.title or None, "description": m.get("description"), "og_title": m.get("og:title"), "og_description": m.get("og:description"),
-                "og_url": m.get("og:url"), "canonical": m.get("canonical"), "body_text": " ".join("".join(self.body).replace("\xa0", " ").split()),
-                "links": self.links, "articles": self.articles, "messages": self.messages, "times": self.times, "labels": self.labels, **self.n}
+def _plain(text: str) -> str:
+    return text.replace("\n", " ")
 
 
 def page_facts(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -109,16 +214,55 @@ def page_facts(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
              **{k: pa.int64() for k in ("role_article", "message_container", "time_or_date_link", "engagement_controls", "descendants")}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = list(_facts(PageTree()))
         for batch in batches:
-            rows = []
-            for text in batch.column("html").to_pylist():
-                page = _Page()
-                page.feed(text)
-                page.close()
-                rows.append(page.facts())
-            names = list(_Page().facts())
+            rows = [_facts(PageTree(text)) for text in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *(pa.array([r[k] for r in rows], kinds.get(k, pa.string())) for k in names)], [key, *names])
 
     kind = dict(pages.dtypes)[key]
     return pages.select(F.col(key).alias("key"), F.coalesce(html, F.lit("")).alias("html")).mapInArrow(run, SCHEMA.format(key=key, kind=kind))
+
+
+def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page, pre, last, depth, parent, tag, attrs, hidden, start, stop, text) of every element of every page.
+
+    pre 0 is the page itself, tagged #page: its text is all visible text and its attrs hold the title, if there is one. Another
+    element's text is given up to SHORT characters; a longer one is characters start to stop, from 0, of the page's. Blocks
+    stand on lines of their own, other white space is single spaces. A null page has only its #page. Columns of `keep`
+    stand in all rows of their page.
+    """
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    names = ["pre", "last", "depth", "parent", "tag", "attrs", "hidden", "start", "stop", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.select(["page", *keep])
+            rows: list[int] = []
+            columns: list[list] = [[] for _ in names]
+
+            def flush(rows, columns, keys=keys):
+                return pa.RecordBatch.from_arrays([*keys.take(pa.array(rows, pa.int64())).columns, *map(pa.array, columns, kinds)], ["page", *keep, *names])
+
+            for row, text in enumerate(batch.column("html").to_pylist()):
+                page = PageTree(text)
+                n = len(page.tags)
+                title = page.title()
+                if title:
+                    page.attrs[0] = {"title": title}
+                stops = [max(a, b) for a, b in zip(page.start, page.stop, strict=True)]
+                texts = [page.text] + [page.text[a:b] if b - a <= SHORT else None for a, b in zip(page.start[1:], stops[1:], strict=True)]
+                rows += [row] * n
+                new = (range(n), page.last, page.depth, page.parent, page.tags, [list(a.items()) for a in page.attrs], page.hidden, page.start, stops, texts)
+                for column, values in zip(columns, new, strict=True):
+                    column += values
+                if len(rows) >= BATCH:
+                    yield flush(rows, columns)
+                    rows, columns = [], [[] for _ in names]
+            if rows:
+                yield flush(rows, columns)
+
+    kinds_of = dict(pages.dtypes)
+    kept = ", ".join(f"`{k}` {kinds_of[k]}" for k in keep) + ", " if keep else ""
+    return pages.select(F.col(key).alias("page"), *keep, F.coalesce(html, F.lit("")).alias("html")).mapInArrow(
+        run, f"page {kinds_of[key]}, {kept}pre int, last int, depth int, parent int, tag string, attrs map<string,string>, hidden boolean, start int, stop int, text string")
