@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import exact_dedup as exact
 from postloom.llm import pii, toxicity
-from postloom.llm.common import bitmap, in_bitmap, out_of_bitmap, shared_folder, stored
+from postloom.llm.common import bitmap, in_bitmap, out_of_bitmap, shared_folder, stored, whole_row
 from postloom.llm.near_copies import near_copies
 from postloom.llm.packing import pack_documents
 
@@ -36,7 +36,7 @@ def only_kept(docs: DataFrame, decided: DataFrame, digest: Column) -> DataFrame:
     """
     gone = stored(decided.groupBy(F.col("doc_id").alias("gone_id"), "h").agg(
         F.count("*").alias("rows"), F.max("kept").alias("stays")).where("rows > 1 or not stays"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), digest.alias("row_h"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("row_id"), digest.alias("row_h"))
     words = bitmap(gone, "h")
     rest = in_bitmap(rows, "row_h", words).join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_h") == F.col("h")), "left")
     one = rest.where("stays").dropDuplicates(["row_id", "row_h"])
