@@ -89,6 +89,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once per row and hand it to body, however often body names it."""
     return F.transform(F.array(value), body)[0]

@@ -207,7 +207,11 @@ def exact_dedup(snapshot: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def split_by_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The older half of the id range as the stored snapshot, the rest (and null ids) as the incoming batch."""
+    """The older half of the id range as the stored snapshot, the rest (and null ids) as the incoming batch; ids that are no
+    whole numbers are parted by hash."""
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        old = F.coalesce(F.xxhash64("doc_id") % 2 == 0, F.lit(False)) & F.col("doc_id").isNotNull()
+        return docs.where(old), docs.where(~old)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     middle = 0 if low is None else (low + high) // 2
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, text_or_empty
+from .common import checkpoint, let, text_or_empty, whole_row
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: kind: (characters that a text must have, pattern)
@@ -39,8 +39,8 @@ GENERATORS = {
     "local_phone": (r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     "id_number": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
-    "key": (r"[A-Za-z0-9_]{24}", r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,200}[0-9])[A-Za-z0-9_]{24,200}(?![A-Za-z0-9_])"),
-    "number": (r"[0-9]{9}", r"(?<![0-9])[0-9]{9,24}(?![0-9])"),
+    "key": (r"[A-Za-z0-9_]{24}", r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{24,}+"),
+    "number": (r"[0-9]{9}", r"(?<![0-9])[0-9]{9,}+"),
 }
 KINDS = tuple(GENERATORS)
 GOOD_CONTEXT = r"tel|phone|call|fax|mobil|mail|contact|card|visa|account|iban|konto|host|server|addr|token|key|secret|passw|ssn|login|user"
@@ -52,16 +52,45 @@ PRECISION = 0.95
 _SPAN = "array<struct<start:bigint,end:bigint,span:string>>"
 
 
+#: Matches of a text that one fold goes over: folds carry growing arrays, so long lists are folded in blocks.
+BLOCK = 128
+
+
+def _blocks(items: Column) -> Column:
+    """items, not empty, in blocks of BLOCK."""
+    last = ((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(values: Column, begin: Column, join) -> Column:
+    """For each of the blocks' values what join makes of those before it."""
+    start = F.struct(begin.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(values, start, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
 def places(text: Column, needs: str, pattern: str) -> Column:
     """Leftmost matches that don't overlap, as array<struct<start, end, span>> in code points."""
+    zero = F.lit(0).cast("long")
+
+    def fold(steps: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.array().cast(_SPAN).alias("out"))
+        return F.aggregate(steps, begin, lambda a, x: F.struct(
+            (a["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"),
+                                                x["span"].alias("span")))).alias("out")))
+
+    def of_blocks(blocks: Column) -> Column:
+        bases = _before(F.transform(blocks, lambda b: b["at"]), zero, lambda a, x: a + x)
+        moved = lambda b, base: F.transform(b["out"], lambda s: F.struct((s["start"] + base).alias("start"), (s["end"] + base).alias("end"), s["span"].alias("span")))
+        return F.flatten(F.zip_with(blocks, bases, moved))
+
+    def of_steps(steps: Column) -> Column:
+        return F.when(F.size(steps) <= BLOCK, fold(steps)["out"]).otherwise(let(F.transform(_blocks(steps), fold), of_blocks))
+
     def walk(m: Column) -> Column:
         step = F.zip_with(F.slice(m["gaps"], 1, F.size(m["found"])), m["found"], lambda g, f: F.struct(
             F.length(g).cast("long").alias("gap"), F.length(f).cast("long").alias("size"), f.alias("span")))
-        begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-        return F.aggregate(step, begin, lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("end"),
-                                                x["span"].alias("span")))).alias("out")), lambda a: a["out"])
+        return let(step, of_steps)
 
     both = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
     held = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
@@ -250,15 +279,27 @@ def redacted(text: Column, selected: Column) -> Column:
     """text with each selected span, overlapping ones as one, replaced by the kind of the first in brackets."""
     by_start = F.array_sort(F.transform(selected, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     name = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         piece = F.array(F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.get(name, s["kind"]))
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"),
                         F.when(s["start"] >= a["at"], F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
 
-    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(selected) == 0, text).otherwise(F.aggregate(by_start, begin, step, rest))
+    def fold(spans: Column, at: Column) -> Column:
+        """Pieces of text and names for spans that follow place `at`."""
+        return F.aggregate(spans, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step, lambda a: a["out"])
+
+    ends = lambda spans: F.array_max(F.transform(spans, lambda s: s["end"]))
+    zero = F.lit(0).cast("long")
+
+    def of_blocks(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, _before(F.transform(blocks, ends), zero, F.greatest), fold))
+
+    def of_spans(spans: Column) -> Column:
+        pieces = F.when(F.size(spans) <= BLOCK, fold(spans, zero)).otherwise(let(_blocks(spans), of_blocks))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, (ends(spans) + 1).cast("int"), F.length(text)))
+
+    return F.when(F.size(selected) == 0, text).otherwise(let(by_start, of_spans))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -268,10 +309,10 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     _, trees, least = _found_and_model(docs)
     # find spans in the row that holds the text: candidates() and select_spans() only need one column to pass by
-    found = candidates(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"))
-    name = max(docs.columns, key=len) + "_"  # a name that docs lacks
+    found = candidates(docs.select(whole_row(docs).alias("doc_id"), "text"))
+    name = "r" * (1 + max(map(len, docs.columns)))  # a name that docs lacks
     row = F.col(name)
     text = redacted(row["text"], F.col(f"{name}_"))
     of = {"text": text, "n_chars": F.length(text)}
     return select_spans(found, trees, least).select(F.col("doc_id").alias(name), F.col("selected").alias(f"{name}_")).select(
-        *((of[c].cast(docs.schema[c].dataType) if c in of else row[c]).alias(c) for c in docs.columns))
+        *((of[c].cast(docs.schema[c].dataType) if c in of else row.getField(c)).alias(c) for c in docs.columns))

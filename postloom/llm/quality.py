@@ -7,7 +7,8 @@ the base rules (too few words, too much repetition).
 
 Everything is a projection over rows: no shuffle, no state, so hot sources and copies don't matter. Repeated three-word
 windows are found inside a row by sorting hashes packed with positions; equal prefixes are confirmed on whole 64-bit
-hashes, so time is n log n in the words of a text.
+hashes, and where different hashes share a prefix (long texts) whole hashes are sorted instead, so results are exact
+at any length and time is n log n in the words of a text.
 
 Cases: a null text has no words and fails the base rules; an empty table gives no rows; rows that repeat a doc_id are
 judged each. Columns other than doc_id and text are ignored.
@@ -43,26 +44,40 @@ def without(text: Column, pattern: str) -> Column:
 
 def repeat_words(words: Column) -> Column:
     """Words in three-word windows that the text has twice or more, each position once."""
+    def covered(at: Column) -> Column:
+        each = F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long"))))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def by_pairs(hashes: Column) -> Column:
+        """Sorted whole hashes with their places: exact for any hashes, but slower."""
+        def starts(s: Column) -> Column:
+            same = lambda p, q: F.coalesce(p["h"] == q["h"], F.lit(False))
+            twice = F.filter(s, lambda p, i: same(p, F.get(s, i - 1)) | same(p, F.get(s, i + 1)))
+            return F.sort_array(F.transform(twice, lambda p: p["i"]))
+
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+        return let(let(pairs, starts), covered)
+
     def of(hashes: Column) -> Column:
         n = F.size(hashes)
         mask = F.when(n < 1 << 16, F.lit((1 << 16) - 1)).when(n < 1 << 24, F.lit((1 << 24) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("long")
 
         def with_mask(mask: Column) -> Column:
-            packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-
-            def same(a: Column, b: Column) -> Column:
-                place = lambda x: F.get(hashes, x.bitwiseAND(mask).cast("int"))
-                return (a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(mask)) == 0) & (place(a) == place(b))
+            prefix, place = F.bitwise_not(mask), lambda x: F.get(hashes, x.bitwiseAND(mask).cast("int"))
+            alike = lambda a, b: a.bitwiseXOR(b).bitwiseAND(prefix) == 0
+            packed = F.sort_array(F.transform(hashes, lambda h, i: h.bitwiseAND(prefix).bitwiseOR(i.cast("long"))))
 
             def starts(s: Column) -> Column:
-                twice = F.filter(s, lambda p, i: F.coalesce(same(p, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(p, F.get(s, i + 1)), F.lit(False)))
+                same = lambda a, b: F.coalesce(alike(a, b) & (place(a) == place(b)), F.lit(False))
+                twice = F.filter(s, lambda p, i: same(p, F.get(s, i - 1)) | same(p, F.get(s, i + 1)))
                 return F.sort_array(F.transform(twice, lambda p: p.bitwiseAND(mask)))
 
-            def covered(at: Column) -> Column:
-                each = F.transform(at, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, i + 1) - p, F.lit(3).cast("long"))))
-                return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+            def checked(s: Column) -> Column:
+                # other hashes with the same prefix may lie between equal ones
+                mixed = F.size(F.filter(s, lambda p, i: F.coalesce(alike(p, F.get(s, i - 1)) & (place(p) != place(F.get(s, i - 1))), F.lit(False)))) > 0
+                return F.when(mixed, by_pairs(hashes)).otherwise(let(starts(s), covered))
 
-            return let(let(packed, starts), covered)
+            return let(packed, checked)
 
         return let(mask, with_mask)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, small_batches, text_or_empty
+from .common import Memo, small_batches, text_or_empty, whole_row
 
 SAMPLE = 1500  # labelled rows a class: the bound of the fit
 FEATURES = 3000
@@ -241,5 +241,5 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:
     """docs without the rows that score rejects; whole rows pass through the scoring map, so nothing is joined."""
-    whole = docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+    whole = docs.select(whole_row(docs).alias("doc_id"), "text")
     return score(whole, model, threshold).where("kept").select("doc_id.*")
