@@ -74,8 +74,8 @@ def _or_group(platform: Column, own: Column, source: Column, p: Column) -> Colum
     return F.when(F.coalesce(stand_in, F.lit(False)), group).otherwise(own)
 
 
-def normalize_posts(raw: DataFrame) -> DataFrame:
-    """The 19 fields in order, for records of a supported platform; others are left out."""
+def normalize_posts(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The 19 fields in order, for records of a supported platform; others are left out. Columns of keep stand in front."""
     d = raw.withColumn("platform", optional_string(F.col("platform"))).where("platform in ('x', 'facebook')")
     d = d.withColumns({k: optional_string(F.col(k)) for k in ("post_id", "input_url", "canonical_url", "content", "publish_time", "collected_at")})
     d = d.withColumn("author", normalize_author(F.col("platform"), F.col("author"), F.col("source")))
@@ -97,7 +97,7 @@ def normalize_posts(raw: DataFrame) -> DataFrame:
         optional_string(F.col("source.name")).alias("name"), optional_string(F.col("source.profile_url")).alias("url")))
     group = F.when(group["name"].isNotNull() | group["url"].isNotNull(), group)
     return d.select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), "platform", "post_id", "input_url", "canonical_url", "author", "content", "publish_time",
+        *(keep or []), F.lit(SCHEMA_VERSION).alias("schema_version"), "platform", "post_id", "input_url", "canonical_url", "author", "content", "publish_time",
         comment_count.alias("comment_count"), count(F.col("like_count")).alias("like_count"), count(F.col("share_count")).alias("share_count"),
         F.when(is_x, count(F.col("repost_count"))).alias("repost_count"), F.when(is_x, count(F.col("view_count"))).alias("view_count"),
         comments.alias("comments"), "collected_at", F.col("_status").alias("collection_status"), error.alias("error"),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +10,15 @@ from postloom.functions import text as txt
 from postloom.functions import url
 from postloom.operators import html, ranking
 from postloom.operators import relational as rel
+from postloom.plans import imports, views
 from postloom.plans import normalize as nz
-from postloom.plans import views
 from postloom.plans.queries import AS_OF, classified, query
 from postloom.sources import jsonl
+from postloom.sources.folders import new_folder
+from postloom.sources.versions import VersionedTables
 from postloom.streaming import incremental
 
 
-
 def raw_posts(spark, d) -> DataFrame:
     """Raw records made of the classified view."""
     c = classified(spark, d).where("platform is not null")
@@ -203,11 +201,56 @@ def merge_keywords(spark, d):
 @query("SELECT DISTINCT platform, post_id FROM c WHERE platform IS NOT NULL")
 def stream_dedupe(spark, d):
     """The view as a stream of files, drained to a table and read: the same identities as the batch query's."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     posts = incremental.distinct_posts(events.selectExpr(f"{views.SEARCH['url']} as url")).select("platform", "post_id")
     q = posts.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+#: Lines of two runs: bad ones, one without identity, records normalised already and not.
+_LINE = """CASE pos % 11 WHEN 0 THEN '{{"bad":' WHEN 1 THEN '[1]' WHEN 2 THEN '{{"platform":"x","post_id":" "}}' WHEN 3 THEN concat('{{"platform":"other","post_id":"', CAST(pos AS {0}), '"}}') ELSE
+  concat('{{"platform":"facebook","post_id":"', CAST(pos % 499 AS {0}), '","canonical_url":"https://www.facebook.com/a/posts/', CAST(pos % 499 AS {0}), '","author":{{"name":"Ann Bell ', CAST(pos % 37 AS {0}),
+    '","type":"user"', CASE WHEN pos % 3 = 0 THEN '' ELSE concat(',"profile_url":"https://www.facebook.com/ann', CAST(pos % 37 AS {0}), '"') END, '}},"content":"text ', CAST(pos AS {0}), '","like_count":', CAST(pos % 1000 AS {0}),
+    ',"collection_status":"success"', CASE WHEN pos % 2 = 0 THEN ',"schema_version":"1.0"' ELSE '' END, ',"collected_at":"2024-03-10T12:30:45Z"}}') END"""
+_IMPORT = """, il AS (SELECT pos, CASE half WHEN 'old' THEN 1 ELSE 2 END AS run, pos % 11 < 4 AS failed, CAST(pos % 499 AS VARCHAR) AS pid, CASE WHEN pos % 3 = 0 THEN 'name:Ann Bell ' || pos % 37 || '|user' ELSE 'url:https://www.facebook.com/ann' || pos % 37 END AS akey, pos % 1000 AS likes FROM c),
+ig AS (SELECT * FROM il WHERE NOT failed),
+ai AS (SELECT akey, min(run) AS run, arg_min(pos, (run, pos)) AS first FROM ig GROUP BY 1), aid AS (SELECT akey, row_number() OVER (ORDER BY run, first) AS id, run FROM ai),
+pi AS (SELECT pid, min(run) AS run, arg_min(pos, (run, pos)) AS first, arg_max(pos, (run, pos)) AS last, max(run) AS last_run FROM ig GROUP BY 1), pid AS (SELECT pid, row_number() OVER (ORDER BY run, first) AS id, run, last, last_run FROM pi)"""
+
+
+def _imported(spark, d):
+    tables = VersionedTables(spark, new_folder(spark, "imported"))
+    v = views.search(spark, d)
+    counts = []
+    for half, words in (("old", ("river", " walk ", "")), ("new", ("river", "green", "green"))):
+        lines = v.where(F.col("half") == half).select("pos", F.expr(_LINE.format("STRING")).alias("line"))
+        run = imports.Run("2024-03-10T10:00:00Z", "2024-03-10T12:00:00Z", words, ("x", "facebook"), 50, f"out/{half}.jsonl", {"posts": 1})
+        counts.append(imports.import_lines(spark, tables, jsonl.parse_lines(lines, "count").select("pos", "v", "reject_reason"), run))
+    return tables, counts
+
+
+@query(_IMPORT + """SELECT pid.pid AS post_id, CAST(pid.id AS BIGINT) AS id, CAST(aid.id AS BIGINT) AS author_id, CAST(last_run AS BIGINT) AS collection_run_id, CAST(likes AS BIGINT) AS like_count, 'text ' || last AS content,
+  CAST(TIMESTAMP '2024-03-10 12:30:45' AS VARCHAR) AS collected_at FROM pid JOIN ig ON ig.pos = last JOIN aid USING (akey)""")
+def import_posts(spark, d):
+    """The posts after two imports, each one change of four tables."""
+    tables, _ = _imported(spark, d)
+    return tables.read("posts", imports.POSTS).select("post_id", "id", "author_id", "collection_run_id", "like_count", "content", F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss").alias("collected_at"))
+
+
+@query(_IMPORT + """, rn AS (SELECT run, count(*) AS records_read, count(*) FILTER (NOT failed) AS imported_count, count(*) FILTER (failed) AS failed_count FROM il GROUP BY 1),
+rp AS (SELECT r.run, records_read, imported_count, failed_count, (SELECT count(*) FROM pid WHERE pid.run = r.run) AS posts_inserted, (SELECT count(*) FROM aid WHERE aid.run = r.run) AS authors_inserted,
+  CASE r.run WHEN 1 THEN 2 * (SELECT count(*) FROM pid WHERE pid.run = 1) ELSE (SELECT count(DISTINCT pid) FROM ig WHERE ig.run = 2) + (SELECT count(*) FROM pid WHERE pid.run = 2) END AS keyword_links_inserted FROM rn r)
+SELECT CAST(run AS BIGINT) AS run_id, records_read, imported_count, failed_count, posts_inserted, imported_count - posts_inserted AS posts_updated, authors_inserted, imported_count - authors_inserted AS authors_updated,
+  keyword_links_inserted, CASE run WHEN 1 THEN 2 ELSE 3 END * imported_count - keyword_links_inserted AS keyword_links_ignored, '2024-03-10 10:00:00' AS started_at, '2024-03-10 12:00:00' AS finished_at,
+  CASE run WHEN 1 THEN '["river"," walk ",""]' ELSE '["river","green","green"]' END AS keywords_json, '["x","facebook"]' AS platform_order_json, CAST(50 AS BIGINT) AS global_limit,
+  CASE run WHEN 1 THEN 'out/old.jsonl' ELSE 'out/new.jsonl' END AS output_path, '{"posts":1}' AS summary_json FROM rp""")
+def import_counts(spark, d):
+    """What each of two imports did, record by record, and the runs' rows."""
+    tables, counts = _imported(spark, d)
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    runs = tables.read("collection_runs", imports.RUNS).select(
+        F.col("id").alias("run_id"), at("started_at"), at("finished_at"), "keywords_json", "platform_order_json", F.col("global_limit").cast("bigint").alias("global_limit"), "output_path", "summary_json")
+    return spark.createDataFrame([tuple(c.values()) for c in counts], ", ".join(f"{k} bigint" for k in counts[0])).join(runs, "run_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BAD_JSON, NOT_OBJECT = "bad_json", "not_object"
@@ -11,13 +11,15 @@ BAD_JSON, NOT_OBJECT = "bad_json", "not_object"
 def jsonl(spark: SparkSession, path: str, on_error: str = "raise", missing_ok: bool = True) -> DataFrame:
     """(line, v, reject_reason) of a JSON Lines source; blank lines are left out.
 
-    raise: the first bad line fails the query, lines that are no object are left out; skip: bad lines are left out
-    too; count: they stay, with a null v and their reason. A missing path is an empty table if missing_ok.
+    raise: the first bad line fails the query, whose message names its number, lines that are no object are left out; skip: bad
+    lines are left out too; count: they stay, with a null v and their reason. A missing path is an empty table if missing_ok.
     """
     if on_error not in ("raise", "skip", "count"):
         raise ValueError("on_error must be raise, skip or count")
     if missing_ok and not _exists(spark, path):
         lines = spark.createDataFrame([], "line string")
+    elif on_error == "raise":
+        return parse_lines(numbered_lines(spark, path).select("line_number", "line"), on_error).drop("line_number")
     else:
         lines = spark.read.text(path).withColumnRenamed("value", "line")
     return parse_lines(lines, on_error)
@@ -42,10 +44,28 @@ def parse_lines(lines: DataFrame, on_error: str) -> DataFrame:
     return d.where("reject_reason is null")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, line) of text files of any size: true numbers from 1 in each file, blank lines counted.
+
+    Files are read in splits, as many tasks as their size gives. Lines are counted by split (a small aggregate), the splits'
+    bases are prefix sums of the counts inside a file, and a line's number is its base and its place in the split. A line ends at a
+    line feed, with or without a carriage return before it.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", "\r$", "").alias("line"))
+    splits = lines.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    place = F.col("at") - F.col("first")
+    # both readings of the files must have cut them alike; if not, it fails rather than tell a wrong number
+    number = F.when(place.between(0, F.col("lines") - 1), F.col("base") + place + 1).otherwise(F.raise_error(F.lit("the files were cut differently when read again")).cast("bigint"))
+    return lines.join(splits, ["file", "split"]).select("file", number.alias("line_number"), "line")
+
+
 def jsonl_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line_number, line, v): true numbers from 1, blank lines counted; each file is read by one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n")).alias("n", "line"))
-    return parse_lines(whole.select((F.col("n") + 1).alias("line_number"), "line"), "raise").drop("reject_reason")
+    """(line_number, line, v): true numbers from 1, blank lines counted but left out."""
+    return parse_lines(numbered_lines(spark, path).select("line_number", "line"), "raise").drop("reject_reason")
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame:

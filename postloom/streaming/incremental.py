@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postloom.functions.url import classify
 from postloom.operators.relational import history_upsert
+from postloom.sources.versions import VersionedTables
 
 
 def distinct_posts(stream: DataFrame, time: str | None = None, late: str = "7 days") -> DataFrame:
@@ -33,31 +33,28 @@ def append_available(stream: DataFrame, table: str, checkpoint: str) -> Streamin
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).toTable(table)
 
 
+HISTORY = "platform string, post_id string, canonical_url string, first_run string, last_run string, status string"
+
+
 def upsert_history(stream: DataFrame, path: str, checkpoint: str, run: str) -> StreamingQuery:
-    """Keep the history at path, one Parquet folder a version, up to date with each micro-batch of posts.
+    """Keep the history at path up to date with each micro-batch of posts.
 
-    A version is written whole before the pointer to it moves, so a reader sees the one before or the one after.
+    A batch rewrites the buckets that its identities fall into, no others, and becomes visible at once; a batch that is replayed
+    after a failure is left out.
     """
-    spark = stream.sparkSession
+    tables = VersionedTables(stream.sparkSession, path)
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = read_history(spark, path)
-        new = history_upsert(old, batch, run)
-        version = f"{path}/v-{number}-{uuid.uuid4().hex}"
-        new.write.parquet(version)
-        spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+        change = tables.begin()
+        if not change.has_seen("history", number):
+            change.merge("history", HISTORY, ["platform", "post_id"], batch, lambda old, rows: history_upsert(old, rows, run))
+            change.commit("history", number)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start()
 
 
-HISTORY = "platform string, post_id string, canonical_url string, first_run string, last_run string, status string"
-
-
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], HISTORY)
-    return spark.read.schema(HISTORY).parquet(spark.read.json(f"{path}/current").first()["version"])
+    return VersionedTables(spark, path).read("history", HISTORY)
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
