@@ -11,7 +11,8 @@ from postloom.functions import numbers as num
 from postloom.functions import text as txt
 from postloom.functions import times, url
 from postloom.operators import relational as rel
-from postloom.plans import views
+from postloom.plans import summaries, views
+from postloom.sources.folders import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -264,15 +265,39 @@ def batch_summary(spark, d):
         F.count("*").alias("record_count"), F.sum(F.when(F.col("like_count") >= 0, F.col("like_count"))).alias("likes"))
 
 
-@query("""SELECT keyword, search_n, accepted_n, failed_n, CASE WHEN accepted_n = 0 THEN 'no_accepted_urls' WHEN failed_n > 0 THEN 'batch_completed_with_failures' ELSE 'success' END AS pipeline_status
-  FROM (SELECT keyword, count(*) AS search_n, count(DISTINCT post_id) FILTER (platform = 'facebook') AS accepted_n, count(*) FILTER (platform = 'facebook' AND status = 'failed') AS failed_n FROM c GROUP BY 1)""")
+@query("""SELECT keyword, k, search_n, accepted_n, failed_n, CASE WHEN k = 3 THEN 'stopped' WHEN bad > 0 AND good > 0 THEN 'partial_search_failure' WHEN accepted_n = 0 THEN 'no_accepted_urls'
+  WHEN failed_n > 0 THEN 'batch_completed_with_failures' ELSE 'success' END AS pipeline_status
+  FROM (SELECT keyword, user_id % 5 AS k, count(*) AS search_n, count(DISTINCT post_id) FILTER (platform = 'facebook') AS accepted_n, count(*) FILTER (platform = 'facebook' AND status = 'failed' AND user_id % 5 > 1) AS failed_n,
+    count(*) FILTER (url IS NULL AND user_id % 5 = 2) AS bad, count(*) FILTER (url IS NOT NULL) AS good FROM c GROUP BY 1, 2)""")
 def pipeline_status(spark, d):
-    fb = F.col("platform") == "facebook"
-    a = classified(spark, d).groupBy("keyword").agg(
-        F.count("*").alias("search_n"), F.count_distinct(F.when(fb, F.col("post_id"))).alias("accepted_n"),
-        F.count(F.when(fb & (F.col("status") == "failed"), 1)).alias("failed_n"))
-    return a.withColumn("pipeline_status", F.when(F.col("accepted_n") == 0, "no_accepted_urls").when(
-        F.col("failed_n") > 0, "batch_completed_with_failures").otherwise("success"))
+    """How runs ended: a run is a keyword and a fifth of the users; one fifth is overridden."""
+    fb, k = F.col("platform") == "facebook", F.col("user_id") % 5
+    n = lambda c: F.count(F.when(c, 1))
+    a = classified(spark, d).groupBy("keyword", k.alias("k")).agg(
+        F.count("*").alias("search_n"), F.count_distinct(F.when(fb, F.col("post_id"))).alias("accepted_n"), n(fb & (F.col("status") == "failed") & (k > 1)).alias("failed_n"),
+        n(F.col("url").isNull() & (k == 2)).alias("bad"), n(F.col("url").isNotNull()).alias("good"))
+    override = F.when(F.col("k") == 3, "stopped")
+    return a.withColumn("pipeline_status", summaries.pipeline_status(override, F.col("bad"), F.col("good"), F.col("accepted_n"), F.col("failed_n"))).drop("bad", "good")
+
+
+@query(_REASON + """, acc AS (SELECT * FROM r WHERE reason IS NULL), uq AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY platform, post_id ORDER BY pos) = 1),
+kw AS (SELECT keyword, keyword = 'error' AS bad FROM c GROUP BY 1),
+nn AS (SELECT (SELECT count(*) FROM kw) AS keyword_count, (SELECT count(*) FROM kw WHERE NOT bad) AS keyword_success_count, (SELECT count(*) FROM kw WHERE bad) AS keyword_failed_count,
+  (SELECT count(*) FROM r) AS search_result_count, (SELECT count(*) FROM acc) AS accepted_before_global_dedup, (SELECT count(reason) FROM r) AS rejected_count,
+  (SELECT count(*) FROM r WHERE reason = 'missing_url') AS rejected_missing_url, (SELECT count(*) FROM r WHERE reason = 'unsupported_url') AS rejected_unsupported_url,
+  (SELECT count(*) FROM r WHERE reason = 'non_facebook_post') AS rejected_non_facebook_post, (SELECT count(*) FROM r WHERE reason = 'duplicate_facebook_post') AS rejected_duplicate_facebook_post,
+  (SELECT count(*) FROM uq) AS batch_input_count, (SELECT count(*) FROM uq WHERE status IN ('success', 'partial')) AS s, (SELECT count(*) FROM uq WHERE status = 'failed') AS f, (SELECT count(*) FROM uq WHERE status = 'skipped') AS k)
+SELECT keyword_count, keyword_success_count, keyword_failed_count, search_result_count, accepted_before_global_dedup, rejected_count, rejected_missing_url, rejected_unsupported_url, rejected_non_facebook_post,
+  rejected_duplicate_facebook_post, batch_input_count, batch_input_count AS accepted_count, rejected_duplicate_facebook_post + accepted_before_global_dedup - batch_input_count AS duplicate_count,
+  rejected_duplicate_facebook_post + accepted_before_global_dedup - batch_input_count AS deduplicated_count, s AS batch_success_count, f AS batch_failed_count, k AS batch_skipped_count,
+  CAST(0 AS BIGINT) AS batch_partial_count, s + f + k AS batch_record_count, s + 5 AS total_success_count, f + 2 AS total_failed_count, k AS total_skipped_count, s + f + k + 7 AS total_record_count,
+  batch_input_count > 0 AS batch_started, CASE WHEN keyword_failed_count > 0 THEN 'partial_search_failure' ELSE 'success' END AS pipeline_status FROM nn""")
+def pipeline_summary(spark, d):
+    """A run's summary from the counters of the job that writes its posts."""
+    c = classified(spark, d)
+    counts = summaries.write_accepted(c.select("keyword", "pos", "url", "platform", "post_id", "status"), new_folder(spark, "accepted"))
+    keywords = {r.keyword: "failed" if r.keyword == "error" else "success" for r in c.select("keyword").distinct().collect()}  # a run's few keywords
+    return summaries.pipeline_summary(spark, counts, keywords, {"success_count": 5, "failed_count": 2})
 
 
 _SPLIT = ", o AS (SELECT * FROM c WHERE half = 'old' AND platform IS NOT NULL), n AS (SELECT * FROM c WHERE half = 'new' AND platform IS NOT NULL) "
