@@ -114,13 +114,13 @@ def final_comments(comments: Column, as_of: Column) -> Column:
     return F.array_distinct(F.filter(made, lambda c: c["comment_content"] != ""))
 
 
-def final_posts(raw: DataFrame) -> DataFrame:
-    """The strict seven fields in order; texts are never null."""
+def final_posts(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The strict seven fields in order; texts are never null. Columns of keep stand in front."""
     plain = lambda c: F.coalesce(optional_string(c), F.lit(""))
     as_of = times.parse_iso(F.col("collected_at"))
     published = F.coalesce(F.nullif("publish_time", F.lit("")), F.col("publish_time_text"))
     return raw.select(
-        plain(F.col("author.name")).alias("author"), plain(F.col("content")).alias("content"),
+        *(keep or []), plain(F.col("author.name")).alias("author"), plain(F.col("content")).alias("content"),
         times.normalize_time(published, as_of).alias("publish_time"), *(count(F.col(k)).alias(k) for k in ("like_count", "share_count", "comment_count")),
         final_comments(F.coalesce("comments", F.array().cast("array<struct<comment_content:string,comment_time:string,comment_author:string>>")), as_of).alias("comments"))
 
