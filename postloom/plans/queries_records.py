@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postloom.functions import posts
 from postloom.plans import post_pages as pp
 from postloom.plans import queries_pages as qp
 from postloom.plans import records, views
@@ -121,3 +122,51 @@ def metric_details(spark, d):
     e = qp.post_elements(spark, d)
     m = records.metric_details(pp.action_bars(e, qp._ranges(e)))
     return m.select("page", *(c for k in records.METRICS for c in (F.col(f"{k}.count").alias(f"{k}_count"), F.col(f"{k}.raw_text").alias(f"{k}_text"), F.col(f"{k}.rejection_reason").alias(f"{k}_reason"))))
+
+
+_TALK = """concat_ws(chr(10), CASE WHEN pos % 4 > 0 THEN author END, CASE WHEN pos % 3 = 0 THEN 'Like' END, CASE WHEN pos % 5 = 0 THEN ' 3d ' END, CASE WHEN pos % 2 = 0 THEN '1.2K' END,
+  CASE WHEN pos % 7 = 0 THEN 'View more comments' END, CASE WHEN pos % 6 = 0 THEN 'All comments' END, CASE WHEN pos % 8 > 0 THEN snippet END, 'Reply')"""
+_TALK_SQL = f""", tk AS (SELECT pos, author, string_split({_TALK}, chr(10)) AS ls FROM c), t0 AS (SELECT pos, author, i, trim(ls[i]) AS line, lower(trim(regexp_replace(ls[i], '\\s+', ' ', 'g'))) AS low FROM tk, unnest(range(1, len(ls) + 1)) AS r(i) WHERE trim(ls[i]) <> ''),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY i) AS k FROM t0)"""
+
+
+@query(_TALK_SQL + """, cm AS (SELECT pos, arg_min(line, k) AS content FROM t1 WHERE low <> lower(trim(regexp_replace(coalesce(author, ''), '\\s+', ' ', 'g')))
+  AND low NOT IN ('like', 'reply', '3d', '1.2k', 'view more comments', '6w', '+3') AND length(low) > 1 GROUP BY 1),
+au AS (SELECT pos, min(k) AS a FROM t1 WHERE trim(coalesce(author, '')) <> '' AND contains(line, trim(author)) GROUP BY 1), be AS (SELECT t1.pos, min(k) AS b FROM t1 LEFT JOIN au USING (pos) WHERE k > coalesce(a, 0) AND low IN ('all comments', 'most relevant') GROUP BY 1),
+dl AS (SELECT t1.pos, arg_min(line, k) AS post FROM t1 LEFT JOIN au USING (pos) LEFT JOIN be USING (pos) WHERE k > coalesce(a, 0) AND k < coalesce(b, 100) AND length(low) >= 20 GROUP BY 1)
+SELECT c.pos, cm.content, dl.post FROM c LEFT JOIN cm USING (pos) LEFT JOIN dl USING (pos)""")
+def content_lines(spark, d):
+    """The line that carries a comment's content, and that of a dialog's post."""
+    v = views.search(spark, d).withColumn("talk", F.expr(_TALK))
+    return v.select("pos", posts.comment_line(posts.lines_of(F.col("talk")), F.col("author")).alias("content"), posts.dialog_line(F.col("talk"), F.col("author")).alias("post"))
+
+
+_NAMES = """CASE pos % 13 WHEN 0 THEN 'Today' WHEN 1 THEN '10:45 pm' WHEN 2 THEN 'May 5' WHEN 3 THEN 'Maya 5' WHEN 4 THEN concat(CAST(pos AS {0}), ' mo') WHEN 5 THEN '1,204 reactions' WHEN 6 THEN '#x' WHEN 7 THEN '+12' WHEN 8 THEN '  ' WHEN 9 THEN 'Most   relevant'
+  WHEN 10 THEN '???' ELSE author END"""
+
+
+@query(f""", nm AS (SELECT pos, trim(regexp_replace({_NAMES.format('VARCHAR')}, '\\s+', ' ', 'g')) AS n FROM c)
+SELECT pos, coalesce(n <> '' AND lower(n) NOT IN ('join', 'like', 'comment', 'share', 'most relevant', 'today') AND NOT regexp_matches(n, '^#|^\\+[0-9]+$|^[0-9]+ ?(mo|w)$|reactions$|comments$|^[0-9]+:[0-9]+') AND NOT regexp_matches(n, '^May( |$)')
+  AND regexp_matches(n, '[A-Za-z0-9]'), false) AS valid FROM nm""")
+def valid_page_authors(spark, d):
+    return views.search(spark, d).select("pos", posts.valid_page_author(F.expr(_NAMES.format("STRING"))).alias("valid"))
+
+
+_META = "CASE pos % 5 WHEN 0 THEN 'Anna Bell on Facebook' WHEN 1 THEN ' River walks ' WHEN 2 THEN 'Facebook' WHEN 3 THEN 'Log in or sign up to view' ELSE NULL END"
+
+
+@query(f""", me AS (SELECT pos, {_META} AS t, CASE WHEN pos % 7 = 0 THEN NULL ELSE snippet END AS s FROM c)
+SELECT pos, CASE WHEN pos % 5 = 3 THEN false WHEN t IS NULL AND s IS NULL THEN false ELSE true END AS specific, CASE pos % 5 WHEN 0 THEN 'Anna Bell' WHEN 1 THEN 'River walks' WHEN 3 THEN 'Log in or sign up to view' END AS author FROM me""")
+def page_metadata_facts(spark, d):
+    v = views.search(spark, d).select("pos", F.expr(_META).alias("t"), F.when(F.col("pos") % 7 != 0, F.col("snippet")).alias("s"))
+    return v.select("pos", posts.metadata_is_specific(F.col("t"), F.col("s")).alias("specific"), posts.metadata_author(F.col("t")).alias("author"))
+
+
+@query("""SELECT keyword, user_id, CASE WHEN count(url) = 0 THEN 'zero_x_search_results' WHEN count(DISTINCT post_id) FILTER (platform = 'x') = 0 THEN 'x_search_results_without_supported_post_urls'
+  WHEN count(*) FILTER (platform = 'x' AND status = 'failed') > 0 THEN 'x_extraction_failed_for_some_posts' END AS warning,
+  CASE min(pos) % 4 WHEN 0 THEN 'google_pse_request_failed' WHEN 1 THEN 'no_supported_post_urls' ELSE 'platform_failed' END AS reason FROM c GROUP BY 1, 2""")
+def x_warnings(spark, d):
+    x = F.col("platform") == "x"
+    a = classified(spark, d).groupBy("keyword", "user_id").agg(F.count("url").alias("n"), F.count_distinct(F.when(x, F.col("post_id"))).alias("u"), F.count(F.when(x & (F.col("status") == "failed"), 1)).alias("f"), F.min("pos").alias("pos"))
+    message = F.expr("CASE pos % 4 WHEN 0 THEN 'All X search keywords failed' WHEN 1 THEN 'No supported posts' WHEN 2 THEN 'boom' END")
+    return a.select("keyword", "user_id", posts.x_warning(F.col("n"), F.col("u"), F.col("f")).alias("warning"), posts.failure_reason(F.lit("x"), message).alias("reason"))
