@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import elements as el
 from postloom.operators import html
+from postloom.plans import page_comments as pc
 from postloom.plans import post_pages as pp
 from postloom.plans.queries import ORACLE_SQL, QUERIES
 from postloom.sources.folders import stored
@@ -36,6 +37,10 @@ _PARTS = (
        WHEN 2 THEN '<div role="button" aria-label="All"><span data-ad-rendering-role="like_button">Like</span><span data-ad-rendering-role="share_button">Share</span></div>'
        ELSE '' END""",
     """'<ul><li aria-hidden="true">secret<li>Reply<li>8 shares</ul>'""",
+    f"""CASE doc_id % 9 WHEN 0 THEN concat('<div aria-label="Comment by Bob"><a role="link" href="/bob?x=1">Bob  Ray</a><div dir="auto">Bob Ray</div><div dir="auto">Nice walk <b>', {_ID}, '</b></div><a href="/p?comment_id=c', {_ID},
+         '&y=1"> 2h </a></div><div aria-label="Reply by Eve"><i>Like</i><p>Thanks all of you</p><abbr title="June 4, 2025">x</abbr></div>')
+       WHEN 1 THEN concat('<div aria-label="Comment by Zed"><a href="/anna/posts/', {_ID}, '">not a comment</a><p>text</p></div><div aria-label="Comment by Kim"><a href="https://www.facebook.com/kim">Kim</a><p>3d<p>Reply</div>')
+       WHEN 2 THEN '<div aria-label="Comment by Al"><a href="mailto:x">Al</a><a href="/al">Like</a><a href="/al2">Al Two</a><span dir="auto">see this<br>twice</span><a aria-label="May 9, 2024 at 1:05 PM" href="/q">t</a></div>' ELSE '' END""",
     """CASE doc_id % 10 WHEN 9 THEN '<div role="article"><a href="/bob">Bob</a><p>a comment</div>' ELSE '' END""",
     """CASE doc_id % 5 WHEN 1 THEN '</article>' WHEN 3 THEN '</div></section>' ELSE '</div>' END""", """'<footer>end</footer></body></html>'""",
 )
@@ -297,3 +302,21 @@ def action_bars(spark, d):
     b = pp.action_bars(e, _ranges(e))
     texts = F.array_join(F.transform("texts", lambda t: F.concat(t["position"], F.lit(": "), t["text"])), " / ")
     return b.select("page", *el.BUTTONS, F.col("bar").cast("bigint").alias("bar"), F.col("bar_depth").cast("bigint").alias("bar_depth"), texts.alias("texts"))
+
+
+@query(_H_POSTS, _ATTRS + _RANGE + """, cd AS (SELECT f2.page, f2.pre, f2.post_id, f2.text FROM f2 JOIN rg ON rg.page = f2.page AND f2.pre > first AND f2.pre <= last_pre WHERE regexp_matches(f2.label, '(?i)comment by|reply by')),
+ci AS (SELECT cd.page, cd.pre AS of, cd.post_id, g.* EXCLUDE (page, post_id) FROM cd JOIN g ON g.page = cd.page AND g.anc = cd.pre),
+cx AS (SELECT page, of FROM ci WHERE tag = 'a' AND contains(href, post_id) AND NOT contains(href, 'comment_id=') GROUP BY 1, 2),
+ca AS (SELECT page, of, arg_min(text, pre) AS author FROM ci WHERE tag = 'a' AND has_href AND text <> '' AND lower(text) NOT IN ('like', 'reply', 'share', 'comment', 'follow') AND NOT contains(href, 'comment_id=')
+  AND (contains(href, 'facebook.com') OR starts_with(href, '/')) AND NOT regexp_matches(text, '^[0-9]+ ?[a-z]$') GROUP BY 1, 2),
+cm AS (SELECT ci.page, ci.of, arg_min(text, (CASE tag WHEN 'div' THEN 0 ELSE 1 END, pre)) AS message FROM ci LEFT JOIN ca USING (page, of) WHERE contains(tok, 'dir="auto"') AND lower(text) IS DISTINCT FROM lower(author) GROUP BY 1, 2),
+ct AS (SELECT page, of, arg_min(text, pre) FILTER (contains(href, 'comment_id=')) AS age, max(CASE WHEN ttl = 'June 4, 2025' THEN '2025-06-04' WHEN label = 'May 9, 2024 at 1:05 PM' THEN '2024-05-09T13:05' END) AS told,
+  arg_min(regexp_extract(href, 'comment_id=([^&]+)', 1), pre) FILTER (contains(href, 'comment_id=')) AS id FROM ci GROUP BY 1, 2),
+cr AS (SELECT cd.page, cd.pre, coalesce(message, CASE WHEN contains(cd.text, 'Thanks all') THEN 'Thanks all of you' END) AS content, coalesce(age, told, '') AS time, coalesce(author, '') AS author, coalesce(id, '') AS id
+  FROM cd LEFT JOIN cx ON cx.page = cd.page AND cx.of = cd.pre LEFT JOIN ca ON ca.page = cd.page AND ca.of = cd.pre LEFT JOIN cm ON cm.page = cd.page AND cm.of = cd.pre LEFT JOIN ct ON ct.page = cd.page AND ct.of = cd.pre WHERE cx.page IS NULL)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY pre) AS BIGINT) AS number, content, time, author, id FROM cr WHERE content IS NOT NULL""")
+def page_comments(spark, d):
+    """The comments of post pages: content, time, author and id."""
+    e = post_elements(spark, d)
+    c = pc.page_comments(e, _ranges(e))
+    return c.select("page", F.col("number").cast("bigint").alias("number"), F.translate("comment_content", "\n", " ").alias("content"), F.col("comment_time").alias("time"), F.col("comment_author").alias("author"), F.col("comment_id").alias("id"))
