@@ -10,7 +10,8 @@ again, so the work is linear. Border checks are memoised, and so are whole piece
 The tables are derived from the rank file on the driver and broadcast: their size is that of the vocabulary. Work is
 a map over rows; nothing is shuffled, so neither hot keys nor copies matter, and a lost executor repeats its tasks.
 
-Cases: a null text is the empty text: no ids, the digests of nothing. Other columns are passed by.
+Cases: a null text is the empty text: no ids, the digests of nothing; texts are encoded whole, however long; rows that
+repeat a doc_id are encoded each; an empty table gives no rows. Other columns are passed by.
 """
 
 from __future__ import annotations

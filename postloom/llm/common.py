@@ -161,8 +161,8 @@ def out_of_bitmap(rows: DataFrame, name: str, words: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) of any orderable type -> (node, root), root the least node that can be reached.
 
-    Alternates large-star and small-star steps; minima are combined map-side and joined back, so no node's
-    neighbours are ever gathered in one place. Lineage is cut each round in the shared checkpoint folder.
+    Alternates large-star and small-star steps; minima are combined map-side and joined back by node: the links
+    of a star's centre are read by one task, but never held by it. Lineage is cut each round in the shared checkpoint folder.
     Self links are ignored; nodes without links don't appear.
     """
     e = checkpoint(

@@ -13,7 +13,7 @@ stay with their buckets; they are never broadcast.
 
 Cases: null text counts as empty; texts are compared after each run of ASCII white space becomes one space; of equal
 texts the least doc_id stays, a null doc_id only if there is no other; of rows that repeat both doc_id and text one
-stays. Either side may be empty. Other columns are ignored.
+stays. Texts of any length are compared whole. Either side may be empty. Other columns are ignored.
 """
 
 from __future__ import annotations

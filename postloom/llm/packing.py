@@ -9,7 +9,8 @@
    however common, is ranked in one task.
 
 Cases: a null or empty text is one piece that holds only the end id; only pieces longer than the capacity are cut;
-rows that repeat a doc_id are documents of their own; an empty table gives no rows. Other columns are passed by.
+rows that repeat a doc_id are documents of their own; texts are encoded whole, however long; pieces of one length take their
+slots by salt, doc_id, piece and crc, and those alike in all may swap; an empty table gives no rows. Other columns are passed by.
 """
 
 from __future__ import annotations

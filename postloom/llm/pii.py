@@ -15,8 +15,8 @@ folder. Texts are never shuffled; a row's work depends on that row alone, so hot
 A match's place is the sum of what split() and regexp_extract_all() return before it. The patterns are the fixed ones
 with possessive loops, which match the same and need no stack or second look, however long a text is.
 
-Cases: a null text counts as empty; rows that repeat a doc_id are treated each; an empty table gives no rows, and
-without candidates the model selects nothing. Other columns are ignored by find_spans; redact keeps them.
+Cases: a null text counts as empty; rows that repeat a doc_id are treated each; spans that tie in kind and start are ordered by
+their end; texts and spans may have any length; an empty table gives no rows, and without candidates the model selects nothing. Other columns are ignored by find_spans; redact keeps them.
 """
 
 from __future__ import annotations

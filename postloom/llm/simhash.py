@@ -13,8 +13,8 @@ fingerprints are at most two bits apart exactly if these meet, so a star to the
 them without making pairs. Links go through connected components, which gathers no group in one place.
 
 Cases: a null text has no words; a text without words has fingerprint zero, linked like any other; rows that repeat
-a doc_id are documents of their own; a null doc_id is a component's id only if it has no other. Other columns are
-ignored.
+a doc_id are documents of their own; a null doc_id is a component's id only if it has no other; texts are read whole, however long; a bit
+that half the shingles have is 0; an empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ from GRADE_TWO on it is severe (2), else mild (1). The fit is convex but for the
 the driver in bounded memory; scoring is one map over rows with a broadcast model of at most FEATURES weights.
 
 Cases: a null text has no features; null labels are ignored, and of several labels for a document the highest counts;
-without labels of both kinds every text scores 0; rows that repeat a doc_id are scored each; an empty table gives no
-rows. Other columns are passed by.
+without labels of both kinds every text scores 0; rows that repeat a doc_id are scored each; texts are read whole, however long, each
+feature counting once; of chances that tie the milder grade is taken; an empty table gives no rows. Other columns are passed by.
 """
 
 from __future__ import annotations
