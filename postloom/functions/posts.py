@@ -10,11 +10,10 @@ from postloom.functions.numbers import parse_metric_count
 from postloom.functions.text import let
 from postloom.functions.times import is_relative
 
-# Lines of a comment or dialog without content, headings that end a dialog's post, names that are controls, and texts of
+# Lines of a comment or dialog without content, headings that end a dialog's post, and texts of
 # pages that show no post.
 COMMENT_LINES = ("like", "reply", "share", "comment", "edited", "top fan", "follow", "see more", "view more replies", "write a reply", "anonymous participant")
 COMMENTS_BEGIN = ("newest", "all comments", "most relevant", "write an answer…", "write an answer...", "write a comment")
-NOT_NAMES = ("join", "like", "comment", "share", "most relevant")
 GENERIC_PAGES = ("facebook helps you connect", "log in or sign up", "create an account or log into facebook", "see posts, photos and more on facebook")
 
 
@@ -55,12 +54,8 @@ def dialog_line(text: Column, author: Column) -> Column:
 
 
 def valid_page_author(name: Column) -> Column:
-    """Whether a link's text can be the author of a page's post: no control, tag, count, age, date or time of day."""
-    plain = txt.collapse(name)
-    wrong = F.lower(plain).isin(*NOT_NAMES) | plain.rlike(r"^#|^\+[0-9]+$") | plain.rlike(rf"(?i)^[0-9]+\s*({txt.NAME_TIME_UNITS})$")
-    wrong = wrong | plain.rlike(r"(?i)^[0-9][0-9,]*(\.[0-9]+)?\s*(k|m|b|万|亿)?\s*(comments?|shares?|reactions?|likes?)$")
-    wrong = wrong | plain.rlike(rf"(?i)^(today|yesterday|just now|({txt.MONTHS})\b.*|[0-9]{{1,2}}:[0-9]{{2}}\s*(am|pm)?)$") | ~plain.rlike(r"[\p{L}\p{N}_]")
-    return F.coalesce((plain != "") & ~wrong, F.lit(False))
+    """Whether a link's text can be the author of a page's post: as other names, and no day or time of day."""
+    return txt.can_be_name(name, txt.UI_NAMES, "today|yesterday|just now", r"[0-9]{1,2}:[0-9]{2}\s*(am|pm)?")
 
 
 def metadata_is_specific(title: Column, description: Column) -> Column:

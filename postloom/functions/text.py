@@ -46,20 +46,26 @@ def preserve_lines(c: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, f"{_WHITE}+$", "")), "\n"))
 
 
-def valid_author_name(name: Column) -> Column:
-    """Whether a text can be an author's name rather than a label, counter, time or metric; null counts as no."""
-    return let(collapse(name), lambda n: ~_wrong_name(n, F.lower(n)))
+#: What can't be a name, by rule: whole texts in any letter case.
+NO_NAME = {
+    "counter of more": r"\+\p{Nd}+",
+    "tag": r"#.*",
+    "age": rf"\p{{Nd}}+\s*({NAME_TIME_UNITS})",
+    "metric": r"\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?\s*(k|m|b|万|亿)?\s*(comments?|shares?|reactions?|likes?)",
+    "date": rf"({MONTHS})(?![\p{{L}}\p{{N}}_]).*",
+    "marks only": r"[^\p{L}\p{N}_]*",
+}
 
 
-def _wrong_name(n: Column, low: Column) -> Column:
-    wrong = (
-        (n == "") | low.isin(*UI_NAMES) | n.startswith("#") | n.rlike(r"^\+\p{Nd}+$")
-        | n.rlike(rf"(?i)^\p{{Nd}}+\s*({NAME_TIME_UNITS})$")
-        | n.rlike(r"(?i)^\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?\s*(k|m|b|万|亿)?\s*(comments?|shares?|reactions?|likes?)$")
-        | n.rlike(rf"(?i)^({MONTHS})(?![\p{{L}}\p{{N}}_]).*")
-        | ~n.rlike(r"[\p{L}\p{N}_]")
-    )
-    return F.coalesce(wrong, F.lit(True))
+def can_be_name(name: Column, words: tuple[str, ...], *more: str) -> Column:
+    """Whether a text is a possible name: none of the words, and no whole match of NO_NAME or of more patterns; null counts as no."""
+    rule = "(?i)^(?:" + "|".join((*NO_NAME.values(), *more)) + ")$"
+    return let(collapse(name), lambda n: F.coalesce(~(F.lower(n).isin(*words) | n.rlike(rule)), F.lit(False)))
+
+
+def valid_author_name(name: Column) -> Column:
+    """Whether a text can be an author's name rather than a label, counter, time or metric; null counts as no."""
+    return can_be_name(name, UI_NAMES)
 
 
 def normalize_match_text(c: Column) -> Column:
