@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from postloom.operators import cards
 from postloom.operators import relational as rel
-from postloom.plans import views
-from postloom.plans.queries import query
+from postloom.plans import summaries, views
+from postloom.plans.queries import classified, query
 from postloom.sources import search_pages
 from postloom.sources.folders import new_folder
 
@@ -80,3 +80,45 @@ def page_cards(spark, d):
     cards.register(spark)
     pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
     return spark.sql("SELECT page_id, url, title FROM result_cards(TABLE(SELECT page_id, html FROM {pages}) PARTITION BY (page_id), 'li', 'a', 'p')", pages=pages)
+
+
+@query(_PAGES_SQL + """SELECT kw AS keyword, CAST(50 AS BIGINT) AS requested_count, CAST(least(50, sum(received)) AS BIGINT) AS result_count, string_agg(page_number || ':' || received, ' ' ORDER BY page_number) AS logs
+FROM st WHERE page_number <= 5 GROUP BY 1""")
+def search_payloads(spark, d):
+    """One envelope a keyword, for at most 50 results."""
+    p = search_pages.payloads(spark.read.format("search_pages").load(captured_pages(spark, d)), 50)
+    logs = F.array_join(F.transform("page_logs", lambda x: F.concat_ws(":", x["page_number"], x["received"])), " ")
+    return p.select("keyword", "requested_count", "result_count", logs.alias("logs"))
+
+
+# The forms in which a keyword is searched for.
+SEARCH_FORMS = (
+    "{keyword}", "{keyword} Facebook", "{keyword} official Facebook", "{keyword} update Facebook", "{keyword} event Facebook", "site:facebook.com {keyword}",
+    'site:facebook.com "{keyword}"', 'site:facebook.com "{keyword}" "story_fbid"', 'site:facebook.com "{keyword}" "permalink.php"',
+)
+
+
+@query("""SELECT keyword, CAST(unnest(range(1, 10)) AS BIGINT) AS place, unnest([keyword, keyword || ' Facebook', keyword || ' official Facebook', keyword || ' update Facebook', keyword || ' event Facebook', 'site:facebook.com ' || keyword,
+  'site:facebook.com "' || keyword || '"', 'site:facebook.com "' || keyword || '" "story_fbid"', 'site:facebook.com "' || keyword || '" "permalink.php"']) AS search FROM (SELECT DISTINCT keyword FROM c)""")
+def query_expansion(spark, d):
+    """The searches of every keyword, each once and ten at most."""
+    forms = F.slice(F.array_distinct(F.array(*(F.replace(F.lit(f), F.lit("{keyword}"), F.col("keyword")) for f in SEARCH_FORMS))), 1, 10)
+    k = views.search(spark, d).select("keyword").distinct()
+    return k.select("keyword", F.posexplode(forms).alias("at", "search")).select("keyword", (F.col("at") + 1).cast("bigint").alias("place"), "search")
+
+
+@query(""", mi AS (SELECT * FROM c WHERE platform = 'facebook' QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY pos) = 1)
+SELECT (SELECT count(DISTINCT keyword) FROM c) AS keyword_count, (SELECT count(DISTINCT keyword) FROM c) AS keyword_success_count, CAST(0 AS BIGINT) AS search_result_count, count(*) AS batch_input_count, CAST(0 AS BIGINT) AS duplicate_count,
+  count(*) FILTER (status = 'failed') AS batch_failed_count, CASE WHEN count(*) > 0 THEN 'success' ELSE 'no_accepted_urls' END AS pipeline_status FROM mi""")
+def manifest_replay(spark, d):
+    """The summary of a run over stored items: its failures don't change how it ended."""
+    c = classified(spark, d)
+    items = rel.dedupe_first(c.where("platform = 'facebook'").select("platform", "post_id", "pos", "status"), ["platform", "post_id"], "pos")
+    keywords = [r.keyword for r in c.select("keyword").distinct().collect()]  # a run's few keywords
+    s = summaries.replay(spark, items, keywords, new_folder(spark, "replayed"))
+    return s.select("keyword_count", "keyword_success_count", "search_result_count", "batch_input_count", "duplicate_count", "batch_failed_count", "pipeline_status")
+
+
+@query("SELECT DISTINCT keyword, 'manifest' AS search_status, CAST(NULL AS BIGINT) AS search_result_count, CAST(NULL AS BIGINT) AS accepted_before_global_dedup, CAST(NULL AS BIGINT) AS rejected_count FROM c")
+def replayed_keywords(spark, d):
+    return summaries.replayed_keywords(views.search(spark, d).select("keyword").distinct())

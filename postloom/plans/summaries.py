@@ -107,3 +107,27 @@ def pipeline_summary(spark: SparkSession, counts: dict[str, int], keywords: dict
     df = spark.createDataFrame([(*row.values(), override)], ", ".join(f"{k} bigint" for k in row) + ", override string")
     status = pipeline_status(F.col("override"), F.col("keyword_failed_count"), F.col("keyword_success_count"), F.col("batch_input_count"), F.col("batch_failed_count"))
     return df.withColumns({"batch_started": F.col("batch_input_count") > 0, "pipeline_status": status}).drop("override")
+
+
+def without_batch(spark: SparkSession, keywords: dict[str, str], status: str) -> DataFrame:
+    """The summary of a run that came to no batch, with the status it ended by."""
+    return pipeline_summary(spark, dict.fromkeys(_COUNTED, 0), keywords, override=status)
+
+
+_COUNTED = ("search_result_count", "accepted_before_global_dedup", "rejected_count", *(f"rejected_{r}" for r in REASONS), "batch_input_count", "success_count", "failed_count", "skipped_count")
+
+
+def replay(spark: SparkSession, items: DataFrame, keywords: list[str], path: str) -> DataFrame:
+    """The summary of a run over a stored manifest's items (platform, post_id, status) instead of a search: they are written to path and counted on the way."""
+    c = Counters()
+    posts = c.watch(items, batch_input_count=F.count(F.lit(1)), success_count=of_status("success", "partial"), failed_count=of_status("failed"), skipped_count=of_status("skipped"))
+    posts.write.parquet(path)
+    counts = dict.fromkeys(_COUNTED, 0) | c.get()
+    counts["accepted_before_global_dedup"] = counts["batch_input_count"]
+    return pipeline_summary(spark, counts, dict.fromkeys(keywords, "manifest"), override="success" if counts["batch_input_count"] else "no_accepted_urls")
+
+
+def replayed_keywords(keywords: DataFrame) -> DataFrame:
+    """A replay's rows by keyword: nothing was searched, so nothing is counted."""
+    none = lambda k: F.lit(None).cast("bigint").alias(k)
+    return keywords.select("keyword", F.lit("manifest").alias("search_status"), none("search_result_count"), none("accepted_before_global_dedup"), none("rejected_count"))

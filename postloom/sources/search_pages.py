@@ -195,3 +195,13 @@ def search_results(rows: DataFrame, max_results: int = MOST_RESULTS) -> DataFram
     # at most MOST_RESULTS rows a keyword get here
     rank = F.row_number().over(Window.partitionBy("keyword").orderBy("page_number", "position"))
     return held.withColumn("rank", rank).where(F.col("rank") <= max_results).select("keyword", "rank", "page_number", "title", "url", "snippet")
+
+
+def payloads(rows: DataFrame, max_results: int = MOST_RESULTS) -> DataFrame:
+    """(keyword, requested_count, result_count, page_logs, results): one envelope a keyword; both arrays are bounded by the pages that a keyword may have."""
+    taken = taken_pages(rows, max_results)
+    logs = taken.groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("page_number", "requested", "received"))).alias("page_logs"))
+    found = search_results(rows, max_results).groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "url", "snippet"))).alias("results"))
+    none = F.array().cast("array<struct<rank:int,title:string,url:string,snippet:string>>")
+    d = logs.join(found, "keyword", "left").withColumn("results", F.coalesce("results", none))
+    return d.select("keyword", F.lit(max_results).cast("bigint").alias("requested_count"), F.size("results").cast("bigint").alias("result_count"), "page_logs", "results")

@@ -52,3 +52,8 @@ def test_stream_counters(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert listener.sums == {"seen": {"rows": 100, "even": 50}}
+
+
+def test_without_batch(spark):
+    r = summaries.without_batch(spark, {"a": "failed", "b": "failed"}, "search_failed").first()
+    assert (r.pipeline_status, r.keyword_failed_count, r.batch_input_count, r.batch_started) == ("search_failed", 2, 0, False)
