@@ -260,15 +260,20 @@ def publish_time_candidates(spark, d):
     return t.select("page", "text", "iso", "strategy", "in_link", "before_message", F.col("descendants").cast("bigint").alias("descendants"), F.col("pre").cast("bigint").alias("pre"), "best")
 
 
-@query(_H_POSTS, _ATTRS + _TIMES + """, tt AS (SELECT f2.page, arg_min(f2.text, f2.pre) AS text FROM f2 JOIN rg ON rg.page = f2.page AND f2.pre > first AND f2.pre <= last_pre WHERE tag = 'time' GROUP BY f2.page)
-SELECT rg.page, pt.iso, CASE WHEN pt.page IS NOT NULL THEN pt.text WHEN regexp_matches(tt.text, '(?i)^([0-9]+ *(s|m|mins|h|d|w|weeks?)|yesterday)$') THEN tt.text
-  ELSE (SELECT arg_min(coalesce(nullif(found, ''), NULL), (pre, o)) FROM dt0 WHERE dt0.page = rg.page) END AS kept,
-  CASE WHEN pt.page IS NOT NULL THEN 'strict' WHEN regexp_matches(tt.text, '(?i)^([0-9]+ *(s|m|mins|h|d|w|weeks?)|yesterday)$') THEN 'time'
-  WHEN EXISTS (SELECT 1 FROM dt0 WHERE dt0.page = rg.page) THEN 'loose' END AS source
-FROM rg LEFT JOIN pt ON pt.page = rg.page AND best LEFT JOIN tt ON tt.page = rg.page""".replace("SELECT rg.page, pt.iso", """, dt0 AS (SELECT f2.page, f2.pre, 0 AS o, f2.text AS found FROM f2 JOIN rg ON rg.page = f2.page AND f2.pre > first AND f2.pre <= last_pre
-  WHERE (tag IN ('span', 'b', 'strong', 'time') OR has_label OR ttl <> '' OR role = 'link' OR (tag = 'a' AND regexp_matches(href, 'story_fbid|/posts/|permalink\\.php')))
-    AND regexp_matches(f2.text, '(?i)^([0-9]+ *(s|m|mins|h|d|w|weeks?)|yesterday)$'))
-SELECT rg.page, pt.iso""", 1))
+_DATES = r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4} at [0-9]{1,2}:[0-9]{2} [AP]M)", r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", r"([0-9]{4}-[0-9]{2}-[0-9]{2})"
+_FOUND_DATE = "coalesce(" + ", ".join(f"nullif(regexp_extract(found, '{p}', 1), '')" for p in _DATES) + ")"
+
+
+@query(_H_POSTS, _ATTRS + _TIMES + f""", po AS (SELECT f2.page, f2.pre, f2.tag, f2.tag IN ('span', 'b', 'strong', 'time') OR has_label OR contains(f2.tok, ' title=') OR role = 'link' OR (f2.tag = 'a' AND regexp_matches(href, 'story_fbid|/posts/|permalink\\.php')) AS loose,
+  unnest([0, 1, 2]) AS o, unnest([f2.text, label, ttl]) AS found FROM f2 JOIN rg ON rg.page = f2.page AND f2.pre > first AND f2.pre <= last_pre),
+pk AS (SELECT *, {_FOUND_DATE} AS dat, CASE WHEN regexp_matches(found, '(?i)^([0-9]+ *(s|secs?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|weeks?)|yesterday)$') THEN found END AS rel FROM po),
+pe AS (SELECT page, pre, tag, loose, dat, coalesce(dat, rel) AS kept FROM pk WHERE dat IS NOT NULL OR rel IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page, pre ORDER BY o) = 1),
+tg AS (SELECT po.page, min(po.pre) AS pre FROM po WHERE tag = 'time' GROUP BY 1), tt AS (SELECT pe.page, pe.dat, pe.kept FROM tg JOIN pe USING (page, pre)),
+lo AS (SELECT page, dat, kept FROM pe WHERE loose QUALIFY row_number() OVER (PARTITION BY page ORDER BY dat IS NULL, pre) = 1),
+al AS (SELECT rg.page, CASE WHEN pt.page IS NOT NULL THEN 'strict' WHEN tt.page IS NOT NULL THEN 'time' WHEN lo.page IS NOT NULL THEN 'loose' END AS source, pt.iso AS strict_iso,
+  CASE WHEN pt.page IS NOT NULL THEN pt.text WHEN tt.page IS NOT NULL THEN tt.kept ELSE lo.kept END AS kept, CASE WHEN tt.page IS NOT NULL THEN tt.dat ELSE lo.dat END AS found
+  FROM rg LEFT JOIN pt ON pt.page = rg.page AND best LEFT JOIN tt ON tt.page = rg.page LEFT JOIN lo ON lo.page = rg.page)
+SELECT page, source, kept, CASE WHEN source = 'strict' THEN strict_iso WHEN contains(found, ' at ') THEN strftime({_MONTHS % 'found'}, '%Y-%m-%dT%H:%M') WHEN found IS NOT NULL THEN strftime({_MONTHS % 'found'}, '%Y-%m-%d') END AS iso FROM al""")
 def publish_times(spark, d):
     e = post_elements(spark, d)
     return pp.publish_times(e, _ranges(e)).select("page", "iso", "kept", "source")
