@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.functions import text as txt
 from postloom.operators import elements as el
 from postloom.operators import html
 from postloom.plans import page_comments as pc
@@ -325,3 +326,29 @@ def page_comments(spark, d):
     e = post_elements(spark, d)
     c = pc.page_comments(e, _ranges(e))
     return c.select("page", F.col("number").cast("bigint").alias("number"), F.translate("comment_content", "\n", " ").alias("content"), F.col("comment_time").alias("time"), F.col("comment_author").alias("author"), F.col("comment_id").alias("id"))
+
+
+_FACTS = _ATTRS + """SELECT f2.page, trim(regexp_replace(replace(replace(replace(regexp_extract(c.html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title,
+  any_value(f2.text) FILTER (f2.pre = 0) AS body, CAST(count(*) FILTER (tag = 'a' AND href <> '') AS BIGINT) AS n_links, CAST(count(*) FILTER (ar OR ra) AS BIGINT) AS n_articles, CAST(count(*) - 1 AS BIGINT) AS descendants,
+  count(*) FILTER (ra) + count(*) FILTER (msg) + count(*) FILTER (tag = 'time' OR (tag = 'a' AND label <> '')) + count(*) FILTER (regexp_matches(label, '(?i)comment|share|reaction|like')) > 0 AS has_signal,
+  CASE WHEN regexp_matches(lower(body), 'see more on facebook|you must log in|log in to continue|登录|创建新账户') THEN 'login_wall'
+    WHEN regexp_matches(lower(body), 'this (content|page) isn.t available|this content is no longer available|此内容目前无法显示|链接可能已失效') THEN 'unavailable' ELSE 'ok' END AS state
+FROM f2 JOIN c USING (page) GROUP BY f2.page, c.html"""
+
+
+def _facts(pages: DataFrame, key: str) -> DataFrame:
+    f = html.page_facts(pages, key)
+    signal = (F.col("role_article") + F.col("message_container") + F.col("time_or_date_link") + F.col("engagement_controls")) > 0
+    return f.select(F.col(key).alias("page"), F.coalesce("title", F.lit("")).alias("title"), F.col("body_text").alias("body"), F.size("links").cast("bigint").alias("n_links"),
+                    F.size("articles").cast("bigint").alias("n_articles"), "descendants", signal.alias("has_signal"), txt.page_state(F.col("body_text"), "facebook").alias("state"))
+
+
+@query(_H_PAGES, _FACTS)
+def page_facts(spark, d):
+    """Facts of the captured pages, their whole visible text among them."""
+    return _facts(spark.read.parquet(f"{d}/pages.parquet"), "page_id")
+
+
+@query(_H_POSTS, _FACTS)
+def post_page_facts(spark, d):
+    return _facts(post_pages(spark, d), "page")

@@ -172,14 +172,6 @@ def page_title(spark, d):
     return html.page_facts(spark.read.parquet(f"{d}/pages.parquet")).select("page_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query()
-def page_facts(spark, d):
-    f = html.page_facts(spark.read.parquet(f"{d}/pages.parquet"))
-    signal = (F.col("role_article") + F.col("message_container") + F.col("time_or_date_link") + F.col("engagement_controls")) > 0
-    return f.select("page_id", "title", "description", F.length("body_text").alias("n_text"), F.size("links").alias("n_links"),
-                    F.size("articles").alias("n_articles"), signal.alias("has_signal"), txt.page_state(F.col("body_text"), "facebook").alias("state"))
-
-
 @query(""", t AS (SELECT pos, CASE WHEN p = '/login' OR p LIKE '/login/%' THEN 'login' WHEN p LIKE '/reel/%' THEN 'reel' WHEN contains(p, '/groups/') THEN 'group' WHEN contains(p, '/posts/') THEN 'standard_post'
   WHEN regexp_matches(p, '/(story|permalink)\\.php$') THEN 'story_or_permalink' ELSE 'unknown' END AS kind FROM (SELECT pos, lower(path) AS p FROM h WHERE host <> '') x)
 SELECT pos, kind, kind IN ('standard_post', 'story_or_permalink') AND pos % 7 <> 0 AND pos % 11 <> 0 AS accepted, CASE WHEN pos % 7 = 0 THEN 'Redirected to Facebook login' WHEN kind = 'reel' THEN 'Unsupported Facebook Reel destination'
