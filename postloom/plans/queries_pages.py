@@ -94,7 +94,7 @@ st AS (SELECT page, CAST(0 AS HUGEINT) AS k, ['#page'] AS tags, [0] AS pres, [fa
         CASE WHEN list_contains(st.tags, 'head') THEN len(st.tags) + 1 - list_position(list_reverse(st.tags), 'head') ELSE 0 END AS head
       FROM st JOIN t ON t.page = st.page AND t.k = st.k + 1) z) y),
 e AS (SELECT page, pre, len(up) AS depth, up[-1] AS parent, tag, tok, up, hid FROM st WHERE pre IS NOT NULL UNION ALL SELECT page, 0, 0, -1, '#page', '', CAST([] AS INT[]), false FROM c),
-p AS (SELECT n.page, n.i, st.pres AS up, replace(replace(replace(replace(replace(n.tok, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS txt
+p AS (SELECT n.page, n.i, st.pres AS up, replace(replace(replace(replace(replace(replace(replace(n.tok, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS txt
     FROM n JOIN st ON st.page = n.page AND st.k = n.k WHERE n.tag = '' AND NOT list_contains(st.offs, true)
   UNION ALL SELECT n.page, n.i, st.pres, ' ' FROM n JOIN st ON st.page = n.page AND st.k = n.k WHERE n.tag IN ({_BLOCKS}, 'br', 'tr', 'body')),
 x AS (SELECT page, u AS pre, trim(regexp_replace(string_agg(txt, '' ORDER BY i), '[ \\t\\n\\r]+', ' ', 'g')) AS text FROM (SELECT page, i, txt, unnest(up) AS u FROM p) GROUP BY 1, 2),
@@ -328,7 +328,7 @@ def page_comments(spark, d):
     return c.select("page", F.col("number").cast("bigint").alias("number"), F.translate("comment_content", "\n", " ").alias("content"), F.col("comment_time").alias("time"), F.col("comment_author").alias("author"), F.col("comment_id").alias("id"))
 
 
-_FACTS = _ATTRS + """SELECT f2.page, trim(regexp_replace(replace(replace(replace(regexp_extract(c.html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title,
+_FACTS = _ATTRS + """SELECT f2.page, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(c.html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title,
   any_value(f2.text) FILTER (f2.pre = 0) AS body, CAST(count(*) FILTER (tag = 'a' AND href <> '') AS BIGINT) AS n_links, CAST(count(*) FILTER (ar OR ra) AS BIGINT) AS n_articles, CAST(count(*) - 1 AS BIGINT) AS descendants,
   count(*) FILTER (ra) + count(*) FILTER (msg) + count(*) FILTER (tag = 'time' OR (tag = 'a' AND label <> '')) + count(*) FILTER (regexp_matches(label, '(?i)comment|share|reaction|like')) > 0 AS has_signal,
   CASE WHEN regexp_matches(lower(body), 'see more on facebook|you must log in|log in to continue|登录|创建新账户') THEN 'login_wall'

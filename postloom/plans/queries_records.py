@@ -100,7 +100,7 @@ def validate_final_lines(spark, d):
 def _count(c: str, words: str) -> str:
     number = "[0-9][0-9,\\s]*(?:\\.[0-9]+)?\\s*[KkMmBb]?"
     text = f"coalesce(nullif(regexp_extract({c}, '(?i)({number})\\s*(?:{words})\\b', 1), ''), nullif(regexp_extract({c}, '(?i)\\b(?:{words})\\s*[:]?\\s*({number})', 1), ''))"
-    return f"CAST(CAST(replace(regexp_extract({text}, '([0-9]+(?:,[0-9]{{3}})*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract({text}, '[0-9]\\s*([KkMmBb])', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'b' THEN 1000000000 ELSE 1 END AS BIGINT)"
+    return f"CAST(CAST(replace(regexp_extract({text}, '([0-9]+(?:,[0-9]{{3}})*(?:\\.[0-9]+)?)', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract({text}, '^[^0-9]*[0-9]+(?:,[0-9]{{3}})*(?:\\.[0-9]+)?\\s*([KkMmBb])', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'b' THEN 1000000000 ELSE 1 END AS BIGINT)"
 
 
 _WORDS = {"like": "reactions?|likes?", "comment": "comments?", "share": "shares?"}
