@@ -3,8 +3,10 @@
 import random
 import time
 
+import duckdb
 import pytest
 
+from postloom.catalog import ORACLE_SQL, QUERIES
 from postloom.operators import elements as el
 from postloom.operators import html
 from postloom.operators.html import PageTree
@@ -136,3 +138,24 @@ def test_strategies(spark):
     assert got[len(rows) - 1].reason == "ambiguous_message_matches" and got[0].pre == 2 and (got[0].containers, got[0].matched) == (2, 2)
     bars = {r.page: r for r in pp.action_bars(e, e.where("tag = '#page'").select("page", F.col("pre").alias("first"), F.col("last").alias("end"))).collect()}
     assert bars[1].like_button and not bars[1].share_button and bars[1].texts[0].position == "action_bar" and bars[5].texts[0].position == "target_container_without_action_bar"
+
+
+def test_references():
+    """By default references as browsers resolve them; of a list, those with a semicolon, in texts, titles and attributes."""
+    page = '<title>a&amp;b &quot;c&quot; d&amp</title><a href="?x=1&lt=2&amp;y">e&amp;lt; f&am</a>'
+    tree, some = PageTree(page), PageTree(page, ("lt", "gt", "amp"))
+    assert (tree.title(), tree.text) == ('a&b "c" d&', "e&lt; f&am")
+    assert (some.title(), some.text, some.attrs[2]) == ("a&b &quot;c&quot; d&amp", "e&lt; f&am", {"href": "?x=1&lt=2&y"})
+
+
+@pytest.mark.parametrize("name", ["page_elements", "page_facts", "page_title"])
+def test_cut_references(spark, tmp_path, name):
+    """Captured pages whose titles are cut within a reference, against SQL."""
+    page = "<html><head><title>a &amp; &quot;b&quot; c&amp</title></head><body><article><h1>a &amp; &quot;b&quot; c&am</h1><p>d &lt;e&gt; f&amp</p></article></body></html>"
+    spark.createDataFrame([(1, "https://a.example/1", page)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    cur = duck.execute(ORACLE_SQL[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, cur.fetchall()))
