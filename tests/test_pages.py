@@ -4,6 +4,7 @@ import random
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from postloom.catalog import ORACLE_SQL, QUERIES
@@ -159,3 +160,12 @@ def test_cut_references(spark, tmp_path, name):
     cur = duck.execute(ORACLE_SQL[name])
     names = [c[0] for c in cur.description]
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_parts():
+    """A batch of pages is parsed in slices of bounded size, each row once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3001)), pa.array(["<p>" + "x" * (k % 7 * 300) for k in range(3000)] + ["y" * 3_000_000])], ["key", "html"])
+    parts = list(html._parts(batch))
+    assert [k for p in parts for k in p.column("key").to_pylist()] == list(range(3001)) and len(parts) > 2
+    assert all(sum(map(len, p.column("html").to_pylist()[:-1])) < html.CHARS for p in parts)
+    assert not list(html._parts(batch.slice(0, 0)))
