@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from postloom.functions import numbers as num
 from postloom.functions import text as txt
 from postloom.operators import ranking
 
@@ -40,3 +41,10 @@ def test_a_text_is_normalised_once(spark):
     assert regexes(df, txt.title_overlap(F.col("text"), F.col("title"))) == 2
     score = ranking.score_article(F.col("text"), F.col("o"), F.col("author"), F.lit(True), F.lit(True))["score"]
     assert regexes(df, score) == 2
+
+
+def test_a_count_is_looked_for_once(spark):
+    df = spark.createDataFrame([("1,204 comments",), ("shares: 3 K",), ("none",), (None,)], "t string")
+    found = num.semantic_metric(F.col("t"), "comment")
+    assert df.select(found.alias("x"))._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract(") == 4
+    assert [r.x for r in df.select(found.alias("x")).collect()] == [1204, None, None, None]
