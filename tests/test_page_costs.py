@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import numbers as num
 from postloom.functions import text as txt
+from postloom.operators import elements as el
 from postloom.operators import ranking
 
 TEXTS = ["Green river walk … with Anna", "green-river, ‘walks’ of ANNA...", "“Río”  Ünï 42 it's it’s end\x1c.", "", "  \n ", None, "walk\nwalk walking", "的 河流 walk", "a bb ccc ccc"]
@@ -43,6 +44,15 @@ def test_a_text_is_normalised_once(spark):
     assert regexes(df, score) == 2
 
 
+def test_whole_texts_make_their_rows_once(spark):
+    schema = "page int, pre int, start int, stop int, text string"
+    elements = spark.createDataFrame([(1, 0, 0, 6, "abcdef"), (1, 1, 1, 3, None), (1, 2, 4, 6, "ef"), (2, 0, 0, 2, "xy"), (2, 1, 0, 0, "")], schema)
+    whole = el.with_text(elements.where("pre > 0"), elements)
+    assert whole.columns == elements.columns
+    assert sorted((r.page, r.pre, r.text) for r in whole.collect()) == [(1, 1, "bc"), (1, 2, "ef"), (2, 1, "")]
+    assert "Union" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_count_is_looked_for_once(spark):
     df = spark.createDataFrame([("1,204 comments",), ("shares: 3 K",), ("none",), (None,)], "t string")
     found = num.semantic_metric(F.col("t"), "comment")
