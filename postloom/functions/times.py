@@ -63,10 +63,15 @@ def publish_time_text(text: Column) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(t, s, 1), F.lit("")) for s in shapes), t)
 
 
+#: How every text begins that the formats of _absolute can read; the rest isn't tried with them.
+_DATED = r"(?iu)^(?:[-+]?[0-9]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+
+
 def _absolute(t: Column) -> Column:
     day = lambda f: F.date_format(F.try_to_timestamp(t, F.lit(f)), "yyyy-MM-dd")
     minute = lambda f: F.date_format(F.try_to_timestamp(t, F.lit(f)), "yyyy-MM-dd'T'HH:mm")
-    return F.coalesce(*(minute(f"{m} d, yyyy 'at' h:mm a") for m in ("MMMM", "MMM")), *(day(f"{m} d, yyyy") for m in ("MMMM", "MMM")), day("yyyy-MM-dd"))
+    read = F.coalesce(*(minute(f"{m} d, yyyy 'at' h:mm a") for m in ("MMMM", "MMM")), *(day(f"{m} d, yyyy") for m in ("MMMM", "MMM")), day("yyyy-MM-dd"))
+    return F.when(t.rlike(_DATED), read)
 
 
 def absolute_date_text(text: Column) -> Column:

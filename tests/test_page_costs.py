@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import numbers as num
 from postloom.functions import text as txt
+from postloom.functions import times
 from postloom.operators import elements as el
 from postloom.operators import ranking
 
@@ -58,3 +59,12 @@ def test_a_count_is_looked_for_once(spark):
     found = num.semantic_metric(F.col("t"), "comment")
     assert df.select(found.alias("x"))._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract(") == 4
     assert [r.x for r in df.select(found.alias("x")).collect()] == [1204, None, None, None]
+
+
+def test_only_texts_that_begin_like_dates_are_read_as_dates(spark):
+    texts = ["june 3, 2025", "SEP 5, 2024", "ſep 5, 2024", "Sept 5, 2024", "May 7, 2024 at 4:05 pm", "2024-02-03", "+2024-02-03", "12 mins", "Yesterday", "", " May 7, 2024", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    read = lambda f: F.date_format(F.try_to_timestamp("t", F.lit(f)), "yyyy-MM-dd'T'HH:mm" if "h" in f else "yyyy-MM-dd")
+    plainly = F.coalesce(*(read(f) for f in ("MMMM d, yyyy 'at' h:mm a", "MMM d, yyyy 'at' h:mm a", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd")))
+    assert [r.same for r in df.select(times._absolute(F.col("t")).eqNullSafe(plainly).alias("same")).collect()] == [True] * len(texts)
+    assert "rlike" in df.select(times._absolute(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString().lower()
