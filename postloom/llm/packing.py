@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Memo, checkpoint, small_batches
+from .common import Memo, checkpoint, kept, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -119,10 +119,6 @@ class WordEncoder:
         return self.encode_all(pa.array([text], pa.string()))[0]
 
 
-#: The last encoder of this worker process, by the model's digest.
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
     spark = docs.sparkSession
@@ -134,10 +130,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[name] = WordEncoder(shared.value)
-        encoder = _ENCODERS[name]
+        encoder = kept(name, lambda: WordEncoder(shared.value))
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(encoder.encode_all(batch.column("text"))):
@@ -153,6 +146,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+            pa.default_memory_pool().release_unused()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(

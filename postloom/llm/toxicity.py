@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, small_batches, text_or_empty, whole_row
+from .common import Memo, lean, small_batches, text_or_empty, whole_row
 
 SAMPLE = 1500  # labelled rows a class: the bound of the fit
 FEATURES = 3000
@@ -143,7 +143,7 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[pa.Table |
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = chosen.select("doc_id", "label", "text").mapInArrow(
-        run, f"doc_id {kind}, label int, features array<int>, sizes array<int>")
+        lean(run), f"doc_id {kind}, label int, features array<int>, sizes array<int>")
     return rows.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]).combine_chunks(), shares
 
 
@@ -236,7 +236,7 @@ def score(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataF
     for name, kind in (("expected_severity", T.DoubleType()), ("grade", T.IntegerType()), ("p_toxic", T.DoubleType()),
                        ("toxic", T.BooleanType()), ("kept", T.BooleanType())):
         schema.add(name, kind)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, threshold: float = 0.5) -> DataFrame:

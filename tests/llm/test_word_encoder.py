@@ -36,3 +36,21 @@ def test_plan_in_parts(spark, monkeypatch):
             assert offset == end
             end += length
         assert end <= 2048
+
+
+def test_kept_encoders_are_released():
+    """A worker process keeps one encoder, and none once a map that needs memory of its own begins: before, its memos stayed as long as the worker."""
+    import gc
+    import weakref
+
+    import pyarrow as pa
+    from postloom.llm import common
+
+    first = weakref.ref(common.kept("a", lambda: packing.WordEncoder(open(MODEL, encoding="utf-8").read())))
+    first().encode("some words")
+    assert common.kept("a", lambda: None) is first()
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(common.lean(lambda batches: batches)(iter([batch]))) == [batch]
+    assert first() is None and common.kept("b", lambda: 2) == 2 and common.kept("c", lambda: 3) == 3 and list(common._KEPT) == ["c"]
+    gc.collect()
+    common.release()
