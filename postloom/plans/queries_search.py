@@ -67,10 +67,13 @@ def result_cards(spark, d):
              F.when(F.col("pos") % 4 > 0, F.concat(F.lit('<div class="gs-bidi gs-snippet">about  '), F.col("pos"), F.lit("</div>"))).otherwise(""), F.lit("</div></div>")]
     v = rel.rank_per_key(views.search(spark, d).select("user_id", "half", "pos", "url"), ["user_id", "half"], "pos")
     page = rel.page_of_rank(F.col("rank")).cast("bigint")
-    of_page = v.select("user_id", "half", page.alias("page_number"), F.struct("pos", F.concat(*parts).alias("h")).alias("card"))
+    key = ["user_id", "half", "page_number"]
+    # dealt by number: pages are small but laborious, and would be merged into a few tasks; the function takes each where it is made
+    parts_of = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_page = v.select("user_id", "half", page.alias("page_number"), F.struct("pos", F.concat(*parts).alias("h")).alias("card")).repartition(parts_of, *key)
     html = F.array_join(F.transform(F.array_sort(F.collect_list("card")), lambda c: c["h"]), "")
-    pages = of_page.groupBy("user_id", "half", "page_number").agg(html.alias("html"))
-    found = spark.sql("SELECT * FROM result_cards(TABLE(SELECT user_id, half, page_number, html FROM {pages}) PARTITION BY (user_id, page_number))", pages=pages)
+    pages = of_page.groupBy(*key).agg(html.alias("html"))
+    found = spark.sql("SELECT * FROM result_cards(TABLE(SELECT user_id, half, page_number, html FROM {pages}))", pages=pages)
     return found.withColumn("card", F.col("card").cast("bigint"))
 
 

@@ -68,3 +68,36 @@ def test_only_texts_that_begin_like_dates_are_read_as_dates(spark):
     plainly = F.coalesce(*(read(f) for f in ("MMMM d, yyyy 'at' h:mm a", "MMM d, yyyy 'at' h:mm a", "MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd")))
     assert [r.same for r in df.select(times._absolute(F.col("t")).eqNullSafe(plainly).alias("same")).collect()] == [True] * len(texts)
     assert "rlike" in df.select(times._absolute(F.col("t")).alias("x"))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_plain_tags_are_read_as_the_library_reads_them(monkeypatch):
+    """Pages of odd and plain pieces give the same tree by either way, and a plain page needs the library's tokenizer for nothing."""
+    import random
+
+    from postloom.operators import html
+
+    class Whole(html.PageTree):
+        def _read(self, page):
+            self.feed(page)
+
+    pieces = ["<div>", "</div>", "<p>", "</p>", '<a href="x&amp;y&copy=2">', "<a href='q'>", "</a>", "<br/>", "<br />", '<img src="a>b"/>', "<td>", "<table>", "</table>", "text", "a < b", " & ", "&lt", "<!-- <p> -->",
+              "<script>if(a<b)</script>", "<SCRIPT>x</script>", "<title>T &amp; <b>x</b></title>", "<title>open", "<textarea><p></textarea>", "<title/>", "<svg>", "<path/>", "</svg>", "<", "</", "</p x>", '<p a="1"b="2">',
+              '<p a="1" A="2">', "<p\n hidden >", "<x-y>", '<p a= "1">', '<p a="un', "<li>", "</ul>", '<div style="opacity: 0" aria-hidden="true">', "<object>", "</object>", "<template>", "</template>", "\r\n", "&#65;"]
+    rng = random.Random(4)
+    for _ in range(2000):
+        page = "".join(rng.choices(pieces, k=rng.randint(1, 20)))
+        a, b = Whole(page), html.PageTree(page)
+        assert all(getattr(a, x) == getattr(b, x) for x in ("tags", "attrs", "depth", "parent", "last", "hidden", "start", "stop", "text", "titles")), page
+    plain = '<div class="a"><a href="/1">One <b>two</b></a><p hidden>x</p><br/></div>'
+    want = Whole(plain).text
+    monkeypatch.setattr(html.PageTree, "parse_starttag", None)
+    monkeypatch.setattr(html.PageTree, "parse_endtag", None)
+    assert html.PageTree(plain).text == want == "One two"
+
+
+def test_result_pages_are_dealt_over_all_tasks(spark):
+    """The function reads pages where they are made: before, its own shuffle merged them into as few tasks as their bytes filled."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["result_cards"](spark, "/root/testdata/sf0.001")
+    assert plan.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
