@@ -273,11 +273,20 @@ _LINES_SQL = """, l AS (SELECT CAST(doc_id AS BIGINT) AS id, x FROM documents, u
 f AS (SELECT id, x, lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS low FROM l) """
 
 
+def _line_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(id, xs): the lines of every text, and of every event one, as lists; null lines and texts are left out."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.split("text", "\n").alias("xs"))
+    return docs.union(_event_lines(spark, d).where("x is not null").select("id", F.array("x").alias("xs")))
+
+
+def _event_lines(spark: SparkSession, d: str) -> DataFrame:
+    return views.search(spark, d).selectExpr("CAST(pos AS BIGINT) AS id", """CASE pos % 8 WHEN 0 THEN author WHEN 1 THEN concat(' View  MORE comments ', pos) WHEN 2 THEN metric
+      WHEN 3 THEN time_text WHEN 4 THEN 'Reply' WHEN 5 THEN 'Shared with  Public group' WHEN 6 THEN 'view previous comments' ELSE 'x' END AS x""")
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("bigint").alias("id"), F.explode(F.split("text", "\n")).alias("x"))
-    more = views.search(spark, d).selectExpr("CAST(pos AS BIGINT) AS id", """CASE pos % 8 WHEN 0 THEN author WHEN 1 THEN concat(' View  MORE comments ', pos) WHEN 2 THEN metric
-      WHEN 3 THEN time_text WHEN 4 THEN 'Reply' WHEN 5 THEN 'Shared with  Public group' WHEN 6 THEN 'view previous comments' ELSE 'x' END AS x""")
-    return docs.union(more)
+    return docs.union(_event_lines(spark, d))
 
 
 @query(_LINES_SQL + "SELECT id, count(*) AS lines, count(*) FILTER (regexp_matches(low, '" + "|".join(txt.EXPAND_COMMENTS) + "')) AS hits FROM f GROUP BY 1")

@@ -9,7 +9,7 @@ from postloom.functions import text as txt
 from postloom.functions import times, url
 from postloom.plans import views
 from postloom.plans.queries import query
-from postloom.plans.queries_runs import _LINES_SQL, _lines
+from postloom.plans.queries_runs import _LINES_SQL, _line_lists, _lines
 
 #: Profile, member and group URLs of the search view's users and groups, beside the URLs of the results.
 _LINKS_SQL = """, links AS (SELECT pos, url AS link FROM c WHERE url IS NOT NULL UNION ALL SELECT pos, CASE pos % 6 WHEN 0 THEN 'https://www.facebook.com/groups/g' || (pos % 31) || '/user/' || user_id || '/?x=1'
@@ -95,8 +95,10 @@ def mysql_datetime(spark, d):
 
 @query(_LINES_SQL + """SELECT id, sha256(string_agg(coalesce(nullif(left(regexp_replace(x, '[^A-Za-z0-9._-]+', '_', 'g'), 80), ''), 'unknown'), '/' ORDER BY x)) AS names FROM f WHERE x IS NOT NULL GROUP BY 1""")
 def safe_filename(spark, d):
-    names = F.transform(F.sort_array(F.collect_list("x")), lambda x: txt.safe_filename(x))
-    return _lines(spark, d).where("x is not null").groupBy("id").agg(F.sha2(F.array_join(names, "/"), 256).alias("names"))
+    """Lines stay one row a text until their names are joined. Texts are dealt by number: their bytes alone would fill a few tasks."""
+    lists = _line_lists(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    names = F.transform(F.sort_array(F.flatten(F.collect_list("xs"))), lambda x: txt.safe_filename(x))
+    return lists.groupBy("id").agg(F.sha2(F.array_join(names, "/"), 256).alias("names"))
 
 
 @query(_LINES_SQL + """SELECT id, count(*) FILTER (regexp_matches(low, 'turned off commenting for this post|comments are turned off|commenting has been turned off')) AS disabled,

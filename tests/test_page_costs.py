@@ -101,3 +101,13 @@ def test_result_pages_are_dealt_over_all_tasks(spark):
 
     plan = __spark_entry__.queries()["result_cards"](spark, "/root/testdata/sf0.001")
     assert plan.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_file_name_is_made_once(spark):
+    df = spark.createDataFrame([("a b//c",), ("",), (None,), ("\n",), ("é" * 3 + "x" * 90,), ("unknown",), ("x" * 100,)], "t string")
+    name = df.select(txt.safe_filename(F.col("t")).alias("n"))
+    assert name._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9._-]+") == 1
+    assert [r.n for r in name.collect()] == ["a_b_c", "unknown", "unknown", "_", "_" + "x" * 79, "unknown", "x" * 80]
+    assert [r.n for r in df.select(F.transform(F.array("t"), lambda x: txt.safe_filename(x))[0].alias("n")).collect()] == [r.n for r in name.collect()]
+    inside = df.select(F.transform(F.array("t"), lambda x: txt.safe_filename(x)).alias("n"))
+    assert inside._jdf.queryExecution().optimizedPlan().toString().count("[^A-Za-z0-9._-]+") == 1
