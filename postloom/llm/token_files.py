@@ -48,6 +48,8 @@ LEAST_BYTES = 1 << 20
 #: Stretches that the memo holds in each of its two generations, and the bytes of one that is still kept.
 MEMO = 400_000
 MEMO_KEY = 64
+#: Bytes of text that are looked at for cuts at once.
+BLOCK = 1 << 15
 #: Documents of one batch that a reader gives, and the most tasks that read.
 READ = 512
 READERS = 20_000
@@ -62,6 +64,7 @@ _KINDS = np.full(256, _DARK, np.uint8)
 for _kind, _bytes in ((0, b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3"), (_SPACE, b" "), (_SPACE | _LINE, b"\t\n\x0b\x0c\r"), (_DARK | _MARK, b".,;:!?()[]{}*#$%&|<>\"-_/"),
                       (_DARK | _LETTER, b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")):
     _KINDS[list(_bytes)] = _kind
+_TABLE = _KINDS.tobytes()
 
 
 class StretchEncoder:
@@ -81,12 +84,18 @@ class StretchEncoder:
 
     def _stretches(self, stretches: list[bytes]) -> list[bytes]:
         known, old = self.known, self.old
-        missing = [x for x in stretches if x not in known and x not in old]
+        out = list(map(known.get, stretches))
+        fresh = [i for i, ids in enumerate(out) if ids is None]
+        missing = [stretches[i] for i in fresh if stretches[i] not in old]
         made = dict(zip(missing, self._library(missing), strict=True))
-        out = [known.get(x) or old.get(x) or made[x] for x in stretches]
-        if len(known) > MEMO:
-            self.old, self.known = known, {}
-        self.known.update((x, ids) for x, ids in zip(stretches, out, strict=True) if len(x) <= MEMO_KEY)
+        if len(known) > MEMO:  # what is still in use comes back from the old generation
+            self.old, self.known, fresh = known, {}, range(len(out))
+        for i in fresh:
+            x = stretches[i]
+            if out[i] is None:
+                out[i] = made[x] if x in made else old[x]
+            if len(x) <= MEMO_KEY:
+                self.known[x] = out[i]
         return out
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
@@ -100,10 +109,11 @@ class StretchEncoder:
         # cut[i]: a stretch starts at byte i. The last of a run of white space starts one, what follows a line end too, and a mark after a letter
         cut = np.zeros(len(codes) + 1, bool)
         if len(codes) > 1:
-            kinds = np.take(_KINDS, codes)
-            now, dark = kinds[:-1], kinds[1:] & _DARK != 0
-            cut[:-2] = (now & _SPACE != 0) & dark
-            cut[1:-1] |= ((now & _LINE != 0) & dark) | ((now & _LETTER != 0) & (kinds[1:] & _MARK != 0))
+            for a in range(0, len(codes) - 1, BLOCK):  # arrays that stay in the cache
+                kinds = np.frombuffer(codes[a : a + BLOCK + 1].tobytes().translate(_TABLE), np.uint8)
+                now, dark, n = kinds[:-1], kinds[1:] & _DARK != 0, a + len(kinds) - 1
+                cut[a:n] |= (now & _SPACE != 0) & dark
+                cut[a + 1 : n + 1] |= ((now & _LINE != 0) & dark) | ((now & _LETTER != 0) & (kinds[1:] & _MARK != 0))
         cut[starts[1:] - 1] = False  # what follows is another text's
         cut[: starts[0]] = False
         cut[starts] = True
